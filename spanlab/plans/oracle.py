@@ -97,6 +97,36 @@ def _views() -> list[tuple[str, str]]:
         FROM v_gold_text g
         LEFT JOIN v_tokens f ON f.doc_id = g.doc_id AND f.s = g.start
         LEFT JOIN v_tokens l ON l.doc_id = g.doc_id AND l.e = g."end") g)"""))
+    v.append(("v_gold_sp", f"""v_gold_sp AS (
+  SELECT g.*, 'doc_' || g.doc_id::VARCHAR AS doc_name, 'T' || g.ord::VARCHAR AS tid,
+         regexp_replace(g.text, '\\s+', ' ', 'g') AS tn,
+         '8' || lpad({bucket("g.label || '|' || g.text", 1000)}::VARCHAR, 3, '0') || '/3' AS code,
+         CASE WHEN g.ord % 7 = 0 AND g.n_tokens >= 2
+              THEN g.start::VARCHAR || ' ' || f.e::VARCHAR || ';' || l.s::VARCHAR
+                   || ' ' || g."end"::VARCHAR
+              ELSE g.start::VARCHAR || ' ' || g."end"::VARCHAR END AS sp
+  FROM v_gold_text g
+  LEFT JOIN v_tokens f ON f.doc_id = g.doc_id AND f.s = g.start
+  LEFT JOIN v_tokens l ON l.doc_id = g.doc_id AND l.e = g."end")"""))
+    v.append(("v_ann_lines", f"""v_ann_lines AS (
+  SELECT doc_name, ord * 10 AS line_no, tid || chr(9) || label || ' ' || sp || chr(9) || tn AS line
+  FROM v_gold_sp
+  UNION ALL
+  SELECT doc_name, ord * 10 + 1, '#' || ord::VARCHAR || chr(9) || 'AnnotatorNotes ' || tid
+         || chr(9) || code
+  FROM v_gold_sp WHERE {bucket("'n' || label || text")} < 70
+  UNION ALL
+  SELECT doc_name, ord * 10 + 2, '#' || ord::VARCHAR || 'b' || chr(9) || 'AnnotatorNotes ' || tid
+         || chr(9) || 'X' || code
+  FROM v_gold_sp WHERE ord % 11 = 0
+  UNION ALL
+  SELECT doc_name, ord * 10 + 3, '#' || ord::VARCHAR || 'd' || chr(9) || 'AnnotatorNotes T'
+         || (ord + 1000000)::VARCHAR || chr(9) || code
+  FROM v_gold_sp WHERE ord % 13 = 0
+  UNION ALL
+  SELECT doc_name, ord * 10 + 4, tid || 'x' || chr(9) || 'broken' FROM v_gold_sp WHERE ord % 17 = 0
+  UNION ALL
+  SELECT doc_name, ord * 10 + 5, '# free comment' FROM v_gold_sp WHERE ord % 19 = 0)"""))
     v.append(("v_lexicon", """v_lexicon AS (
   SELECT p_type AS label, p_name AS content, p_brand AS code, p_partkey AS ordinal FROM part)"""))
     v.append(("v_mentions", """v_mentions AS (

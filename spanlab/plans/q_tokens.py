@@ -241,8 +241,8 @@ def _vocab_sql() -> str:
 
 
 register("o_split_docs", """o_split_docs AS (
-  SELECT doc_name, CASE WHEN rk <= floor(n * 0.8) THEN 'train'
-                        WHEN rk <= floor(n * 0.8) + floor(n * 0.1) THEN 'val'
+  SELECT doc_name, CASE WHEN rk <= floor(n * 0.8::DOUBLE) THEN 'train'
+                        WHEN rk <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val'
                         ELSE 'test' END AS split, rk
   FROM (SELECT doc_name, row_number() OVER (ORDER BY md5(doc_name || '42'), doc_name) AS rk,
                count(*) OVER () AS n

@@ -146,6 +146,60 @@ def ann_csv(spark, sf_dir) -> DataFrame:
     )
 
 
+def _span_string(g: DataFrame, t: DataFrame) -> DataFrame:
+    """Add ``sp``: ``"s e"``, or ``"s m;n e"`` for every 7th entity of >= 2 tokens."""
+    first_e = t.select("doc_id", F.col("s").alias("start"), F.col("e").alias("first_e"))
+    last_s = t.select("doc_id", F.col("e").alias("end"), F.col("s").alias("last_s"))
+    g = g.join(first_e, ["doc_id", "start"], "left").join(last_s, ["doc_id", "end"], "left")
+    disc = ((F.col("ord") % 7) == 0) & (F.col("n_tokens") >= 2)
+    return g.withColumn("sp", F.when(disc, F.concat_ws(
+        " ", F.col("start").cast("string"),
+        F.concat(F.col("first_e").cast("string"), F.lit(";"), F.col("last_s").cast("string")),
+        F.col("end").cast("string"))).otherwise(
+        F.concat_ws(" ", F.col("start").cast("string"), F.col("end").cast("string"))))
+
+
+def ann_lines(spark, sf_dir) -> DataFrame:
+    """v_ann_lines: a standoff image of the gold entities, one row per line.
+
+    Line numbers leave room between entities: ``T`` line at ``10*ord``; its
+    code note at ``+1`` (for 70% of entities); a second, later note at ``+2``
+    for every 11th (last one wins); a dangling note at ``+3`` for every 13th;
+    a malformed ``T`` line at ``+4`` for every 17th; a free ``#`` comment at
+    ``+5`` for every 19th.
+    """
+    d = docs(spark, sf_dir)
+    g = bio.with_text(gold(spark, sf_dir), d)
+    g = _span_string(g, tokens(spark, sf_dir).select("doc_id", "s", "e"))
+    code = F.concat(F.lit("8"), F.lpad(md5_bucket(F.concat("label", F.lit("|"), "text"), 1000)
+                                       .cast("string"), 3, "0"), F.lit("/3"))
+    tid = F.concat(F.lit("T"), F.col("ord").cast("string"))
+    text = F.regexp_replace("text", r"\s+", " ")
+    ln = F.col("ord") * 10
+    rows = [
+        (ln, F.lit(True), F.concat_ws("\t", tid, F.concat_ws(" ", "label", "sp"), text)),
+        (ln + 1, md5_bucket(F.concat(F.lit("n"), "label", "text")) < 70,
+         F.concat_ws("\t", F.concat(F.lit("#"), F.col("ord").cast("string")),
+                     F.concat(F.lit("AnnotatorNotes "), tid), code)),
+        (ln + 2, (F.col("ord") % 11) == 0,
+         F.concat_ws("\t", F.concat(F.lit("#"), F.col("ord").cast("string"), F.lit("b")),
+                     F.concat(F.lit("AnnotatorNotes "), tid), F.concat(F.lit("X"), code))),
+        (ln + 3, (F.col("ord") % 13) == 0,
+         F.concat_ws("\t", F.concat(F.lit("#"), F.col("ord").cast("string"), F.lit("d")),
+                     F.concat(F.lit("AnnotatorNotes T"), (F.col("ord") + 1000000).cast("string")),
+                     code)),
+        (ln + 4, (F.col("ord") % 17) == 0,
+         F.concat(tid, F.lit("x\tbroken"))),
+        (ln + 5, (F.col("ord") % 19) == 0, F.lit("# free comment")),
+    ]
+    arr = F.filter(F.array(*[F.struct(n.cast("long").alias("line_no"), keep.alias("keep"),
+                                      line.alias("line")) for n, keep, line in rows]),
+                   lambda x: x["keep"])
+    out = g.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("doc_name"),
+                   F.explode(arr).alias("_l"))
+    return out.select("doc_name", "_l.line_no", "_l.line")
+
+
 def lexicon(spark, sf_dir) -> DataFrame:
     """v_lexicon: (label, content, code, ordinal) from ``part``."""
     return table(spark, sf_dir, "part").select(
