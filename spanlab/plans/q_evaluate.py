@@ -1 +1,296 @@
-"""Queries."""
+"""Queries: strict span evaluation, error analysis, sequence evaluation and
+model comparison (J10-J14, A12-A19, A25, U3, U5, W11, M6-M8)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spanlab import schemas
+from spanlab.operators import bio, evaluate as ev
+from spanlab.operators import tokens as tok
+from spanlab.plans import q_tokens as qt
+from spanlab.plans import testviews as tv
+from spanlab.plans.catalogue import query
+from spanlab.plans.oracle import register
+
+# ---- oracle CTEs -----------------------------------------------------------------
+
+register("o_cand", """o_cand AS (
+  SELECT g.doc_id, g.label, g.ord AS g_ord, p.ord AS p_ord, g.start AS g_start, g."end" AS g_end,
+         p.start AS p_start, p."end" AS p_end,
+         least(g."end", p."end") - greatest(g.start, p.start) AS overlap
+  FROM v_gold g JOIN v_pred p ON p.doc_id = g.doc_id AND p.label = g.label
+   AND least(g."end", p."end") - greatest(g.start, p.start) > 0)""")
+register("o_ranked", """o_ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, g_ord, p_ord) AS rn
+  FROM o_cand)""")
+register("o_walk", """o_walk AS (  -- recursive
+  SELECT doc_id, 0::BIGINT AS rn, []::BIGINT[] AS g, []::BIGINT[] AS p, false AS acc
+  FROM (SELECT DISTINCT doc_id FROM o_ranked)
+  UNION ALL
+  SELECT c.doc_id, c.rn,
+         CASE WHEN list_contains(w.g, c.g_ord) OR list_contains(w.p, c.p_ord) THEN w.g
+              ELSE list_append(w.g, c.g_ord) END,
+         CASE WHEN list_contains(w.g, c.g_ord) OR list_contains(w.p, c.p_ord) THEN w.p
+              ELSE list_append(w.p, c.p_ord) END,
+         NOT (list_contains(w.g, c.g_ord) OR list_contains(w.p, c.p_ord))
+  FROM o_walk w JOIN o_ranked c ON c.doc_id = w.doc_id AND c.rn = w.rn + 1)""")
+register("o_matched", """o_matched AS (
+  SELECT c.* FROM o_ranked c JOIN o_walk w ON w.doc_id = c.doc_id AND w.rn = c.rn WHERE w.acc)""")
+register("o_outcomes", """o_outcomes AS (
+  SELECT doc_id, CASE WHEN g_start = p_start AND g_end = p_end THEN 'TP' ELSE 'BOUNDARY' END AS type,
+         label AS gold_label, label AS pred_label, g_start AS gold_start, g_end AS gold_end,
+         p_start AS pred_start, p_end AS pred_end
+  FROM o_matched
+  UNION ALL
+  SELECT doc_id, 'FN_PURE', label, 'O', start, "end", NULL, NULL FROM v_gold g
+  WHERE NOT EXISTS (SELECT 1 FROM o_matched m WHERE m.doc_id = g.doc_id AND m.g_ord = g.ord)
+  UNION ALL
+  SELECT doc_id, 'FP_PURE', 'O', label, NULL, NULL, start, "end" FROM v_pred p
+  WHERE NOT EXISTS (SELECT 1 FROM o_matched m WHERE m.doc_id = p.doc_id AND m.p_ord = p.ord))""")
+register("o_errors", """o_errors AS (
+  SELECT o.*, CASE WHEN gold_start IS NOT NULL
+                   THEN substr(d.text, gold_start + 1, gold_end - gold_start) END AS gold_text,
+              CASE WHEN pred_start IS NOT NULL
+                   THEN substr(d.text, pred_start + 1, pred_end - pred_start) END AS pred_text
+  FROM o_outcomes o JOIN v_docs d USING (doc_id) WHERE o.type <> 'TP')""")
+register("o_counts", """o_counts AS (
+  SELECT CASE WHEN type = 'FP_PURE' THEN pred_label ELSE gold_label END AS label,
+         count(*) FILTER (WHERE type = 'TP') AS tp,
+         count(*) FILTER (WHERE type = 'BOUNDARY') AS boundary_errors,
+         count(*) FILTER (WHERE type = 'FN_PURE') AS fn_pure,
+         count(*) FILTER (WHERE type = 'FP_PURE') AS fp_pure
+  FROM o_outcomes GROUP BY 1)""")
+
+
+def _metrics_sql(src: str) -> str:
+    p = "CASE WHEN tp + fp_pure + boundary_errors = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fp_pure + boundary_errors)::DOUBLE END"
+    r = "CASE WHEN tp + fn_pure + boundary_errors = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fn_pure + boundary_errors)::DOUBLE END"
+    return f"""
+SELECT label, round(p, 4) AS precision, round(r, 4) AS recall,
+       round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2.0 * p * r / (p + r) END, 4) AS f1,
+       tp, fp_pure, fn_pure, boundary_errors,
+       fp_pure + boundary_errors AS fp_total, fn_pure + boundary_errors AS fn_total
+FROM (SELECT *, {p} AS p, {r} AS r FROM {src})"""
+
+
+# ---- Spark side: one token source feeds gold and predictions ---------------------
+
+def gold_pred(spark, sf, model: str = tv.DEFAULT_MODEL):
+    d = tv.docs(spark, sf)
+    gt = tv.gold_tags_of(tok.tokenize(d))
+    gold = bio.decode(gt, score_col=None)
+    pred = bio.decode(tv.pred_tags_of(gt, model, dict(tv.MODELS)[model]))
+    return d, gold, pred
+
+
+def strict(spark, sf):
+    d, gold, pred = gold_pred(spark, sf)
+    return d, gold, pred, ev.strict_outcomes(gold, pred)
+
+
+@query("overlap_pairs", """
+SELECT doc_id, label, g_ord, p_ord, g_start, g_end, p_start, p_end, overlap FROM o_cand""")
+def q_overlap_pairs(spark, sf):
+    _, gold, pred = gold_pred(spark, sf)
+    return ev.overlap_pairs(gold, pred)
+
+
+@query("greedy_match", "SELECT doc_id, label, g_ord, p_ord, overlap FROM o_matched")
+def q_greedy_match(spark, sf):
+    _, gold, pred = gold_pred(spark, sf)
+    return ev.greedy_match(ev.overlap_pairs(gold, pred)).select(
+        "doc_id", "label", "g_ord", "p_ord", "overlap")
+
+
+@query("match_errors", """
+SELECT doc_id, type, gold_label, pred_label, gold_start, gold_end, pred_start, pred_end,
+       gold_text, pred_text FROM o_errors""")
+def q_match_errors(spark, sf):
+    d, _, _, out = strict(spark, sf)
+    return ev.errors_with_text(out, d).drop("g_ord", "p_ord")
+
+
+@query("error_counts", "SELECT label, tp, boundary_errors, fn_pure, fp_pure FROM o_counts")
+def q_error_counts(spark, sf):
+    return ev.error_counts(strict(spark, sf)[3])
+
+
+@query("strict_metrics", _metrics_sql("o_counts"))
+def q_strict_metrics(spark, sf):
+    return ev.strict_metrics(strict(spark, sf)[3])
+
+
+@query("strict_micro", _metrics_sql("""(
+  SELECT * FROM o_counts
+  UNION ALL
+  SELECT 'ALL', sum(tp)::BIGINT, sum(boundary_errors)::BIGINT, sum(fn_pure)::BIGINT,
+         sum(fp_pure)::BIGINT FROM o_counts)"""))
+def q_strict_micro(spark, sf):
+    return ev.strict_micro(strict(spark, sf)[3])
+
+
+@query("error_summary", """
+SELECT type, 'ALL' AS label, count(*) AS n FROM o_outcomes WHERE type <> 'TP' GROUP BY type
+UNION ALL
+SELECT type, CASE WHEN type = 'FP_PURE' THEN pred_label ELSE gold_label END, count(*)
+FROM o_outcomes WHERE type <> 'TP' GROUP BY 1, 2""")
+def q_error_summary(spark, sf):
+    return ev.error_summary(strict(spark, sf)[3])
+
+
+@query("boundary_examples", """
+SELECT doc_id, gold_label, gold_start, gold_end, pred_start, pred_end, gold_text, pred_text
+FROM o_errors WHERE type = 'BOUNDARY' ORDER BY doc_id, gold_start, pred_start LIMIT 5""")
+def q_boundary_examples(spark, sf):
+    d, _, _, out = strict(spark, sf)
+    return ev.boundary_examples(ev.errors_with_text(out, d)).select(
+        "doc_id", "gold_label", "gold_start", "gold_end", "pred_start", "pred_end",
+        "gold_text", "pred_text")
+
+
+register("o_rate_doc", f"""o_rate_doc AS (
+  SELECT g.doc_id, length(d.text)::BIGINT AS length,
+         round(coalesce(e.n, 0)::DOUBLE / g.n::DOUBLE, 6) AS error_rate,
+         CASE WHEN length(d.text) < {schemas.LENGTH_SHORT_MAX} THEN '{schemas.CATEGORY_SHORT}'
+              WHEN length(d.text) < {schemas.LENGTH_MEDIUM_MAX} THEN '{schemas.CATEGORY_MEDIUM}'
+              ELSE '{schemas.CATEGORY_LONG}' END AS category
+  FROM (SELECT doc_id, count(*) AS n FROM v_gold GROUP BY doc_id) g
+  JOIN v_docs d ON d.doc_id = g.doc_id
+  LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE type IN ('FN_PURE', 'FP_PURE')) AS n
+             FROM o_outcomes GROUP BY doc_id) e ON e.doc_id = g.doc_id)""")
+
+
+def _rate_by_doc(spark, sf):
+    d, gold, _, out = strict(spark, sf)
+    return ev.error_rate_by_doc(out, gold, d)
+
+
+@query("error_rate_by_doc", "SELECT doc_id, length, error_rate, category FROM o_rate_doc")
+def q_error_rate_by_doc(spark, sf):
+    return _rate_by_doc(spark, sf)
+
+
+@query("error_rate_by_category", """
+SELECT category, round(avg(error_rate), 6) AS mean_error_rate, count(*) AS n_docs
+FROM o_rate_doc GROUP BY category""")
+def q_error_rate_by_category(spark, sf):
+    return ev.error_rate_by_category(_rate_by_doc(spark, sf))
+
+
+@query("confusion", "SELECT lbl.gold_label, " + ", ".join(
+    f"count(e.type) FILTER (WHERE e.pred_label = '{x}') AS {x}" for x in schemas.CONFUSION_LABELS)
+    + " FROM (VALUES " + ", ".join(f"('{x}')" for x in schemas.CONFUSION_LABELS)
+    + ") AS lbl(gold_label) LEFT JOIN (SELECT * FROM o_outcomes WHERE type <> 'TP') e"
+    + " ON e.gold_label = lbl.gold_label GROUP BY lbl.gold_label")
+def q_confusion(spark, sf):
+    return ev.confusion(strict(spark, sf)[3], spark)
+
+
+# ---- sequence evaluation over windows -------------------------------------------
+
+register("o_seq_pairs", """o_seq_pairs AS (
+  SELECT l.doc_id, l.chunk, l.j, l.tag AS gold_tag, p.tag AS pred_tag
+  FROM o_win_labels l JOIN o_win_preds p ON p.doc_id = l.doc_id AND p.chunk = l.chunk AND p.j = l.j)""")
+
+
+def _seq_entities_sql(src: str, tag: str, keys: str) -> str:
+    return f"""(SELECT {keys}, substr(t, 3) AS label, min(j) AS start_j, max(j) AS end_j FROM (
+      SELECT *, sum(flag) OVER (PARTITION BY {keys} ORDER BY j
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp
+      FROM (SELECT *, CASE WHEN t LIKE 'B-%' OR (t LIKE 'I-%' AND (prev IS NULL OR prev = 'O'
+                            OR substr(prev, 3) <> substr(t, 3))) THEN 1 ELSE 0 END AS flag
+            FROM (SELECT *, {tag} AS t, lag({tag}) OVER (PARTITION BY {keys} ORDER BY j) AS prev
+                  FROM {src})))
+    WHERE t <> 'O' GROUP BY {keys}, grp, substr(t, 3))"""
+
+
+def _seq_sql(src: str, keys: str, group: str) -> str:
+    gsel = f"{group}, " if group else ""
+    gby = f"GROUP BY {group}" if group else ""
+    gjoin = (" AND ".join(f"x.{c.strip()} = a.{c.strip()}" for c in group.split(","))
+             if group else "TRUE")
+    ekeys = f"{group}, {keys}" if group else keys
+    ge = _seq_entities_sql(src, "gold_tag", ekeys)
+    pe = _seq_entities_sql(src, "pred_tag", ekeys)
+    on = " AND ".join(f"g.{c.strip()} = p.{c.strip()}" for c in ekeys.split(","))
+    osel = ", ".join(f"a.{c.strip()}" for c in group.split(",")) + ", " if group else ""
+    return f"""
+SELECT {osel}round(CASE WHEN coalesce(np.n, 0) = 0 THEN 0.0 ELSE coalesce(nc.n, 0)::DOUBLE / np.n::DOUBLE END, 6) AS precision,
+       round(CASE WHEN coalesce(ng.n, 0) = 0 THEN 0.0 ELSE coalesce(nc.n, 0)::DOUBLE / ng.n::DOUBLE END, 6) AS recall,
+       round(CASE WHEN coalesce(np.n, 0) = 0 OR coalesce(ng.n, 0) = 0 OR coalesce(nc.n, 0) = 0 THEN 0.0
+                  ELSE 2.0 * (nc.n::DOUBLE / np.n::DOUBLE) * (nc.n::DOUBLE / ng.n::DOUBLE)
+                       / ((nc.n::DOUBLE / np.n::DOUBLE) + (nc.n::DOUBLE / ng.n::DOUBLE)) END, 6) AS f1,
+       round(a.acc, 6) AS accuracy, a.n_chunks, coalesce(ng.n, 0) AS n_gold,
+       coalesce(np.n, 0) AS n_pred, coalesce(nc.n, 0) AS n_correct
+FROM (SELECT {gsel}avg(CASE WHEN gold_tag = pred_tag THEN 1.0 ELSE 0.0 END) AS acc,
+             count(DISTINCT ({keys})) AS n_chunks FROM {src} {gby}) a
+LEFT JOIN (SELECT {gsel}count(*) AS n FROM {ge} {gby}) ng ON {gjoin.replace('x.', 'ng.')}
+LEFT JOIN (SELECT {gsel}count(*) AS n FROM {pe} {gby}) np ON {gjoin.replace('x.', 'np.')}
+LEFT JOIN (SELECT {('g.' + group + ', ') if group else ''}count(*) AS n FROM {ge} g JOIN {pe} p
+           ON {on} AND g.label = p.label AND g.start_j = p.start_j AND g.end_j = p.end_j
+           {('GROUP BY g.' + group) if group else ''}) nc ON {gjoin.replace('x.', 'nc.')}"""
+
+
+def _seq_pairs(spark, sf):
+    t = tv.tokens(spark, sf)
+    wt = tok.window_tokens(t, qt.MAX_LEN, qt.STRIDE, qt.SPECIALS)
+    al = bio.align(t, bio.dedupe_spans(qt.gold_spans(spark, sf)))
+    gl = bio.window_labels(wt, al, qt.MAX_LEN, qt.STRIDE, qt.SPECIALS, mask="none")
+    return gl, t, wt
+
+
+@query("seq_eval", _seq_sql("o_seq_pairs", "doc_id, chunk", ""))
+def q_seq_eval(spark, sf):
+    gl, _, _ = _seq_pairs(spark, sf)
+    wp = qt.window_preds(spark, sf).select("doc_id", "chunk", "j", F.col("tag").alias("pred_tag"))
+    pairs = gl.select("doc_id", "chunk", "j", F.col("tag").alias("gold_tag")).join(
+        wp, ["doc_id", "chunk", "j"])
+    return ev.seq_eval(pairs)
+
+
+register("o_seq_multi", """o_seq_multi AS (
+  SELECT p.model, l.doc_id, l.chunk, l.j, l.tag AS gold_tag, p.tag AS pred_tag
+  FROM o_win_labels l JOIN v_preds_multi_tags p ON p.doc_id = l.doc_id AND p.i = l.i)""")
+register("o_seq_models", "o_seq_models AS (" + _seq_sql("o_seq_multi", "doc_id, chunk", "model")
+         + ")")
+
+
+def _multi(spark, sf):
+    gl, t, _ = _seq_pairs(spark, sf)
+    g = tv.gold_tags_of(t)
+    preds = None
+    for m, noise in tv.MODELS:
+        p = tv.pred_tags_of(g, m, noise).select("doc_id", "i", F.col("tag").alias("pred_tag")) \
+            .withColumn("model", F.lit(m))
+        preds = p if preds is None else preds.unionByName(p)
+    pairs = gl.select("doc_id", "chunk", "j", "i", F.col("tag").alias("gold_tag")).join(
+        preds, ["doc_id", "i"])
+    return ev.seq_eval(pairs, group=("model",))
+
+
+# every model the benchmark lists; the last one has no predictions (failed run)
+MODEL_LIST = [m for m, _ in tv.MODELS] + ["m4_failed"]
+
+
+@query("model_compare", "SELECT l.model, "
+       "contains(lower(l.model), 'optimized') AS optimized, r.precision AS seqeval_precision, "
+       "r.recall AS seqeval_recall, r.f1 AS seqeval_f1, r.n_chunks FROM (VALUES "
+       + ", ".join(f"('{m}')" for m in MODEL_LIST)
+       + ") AS l(model) LEFT JOIN o_seq_models r ON r.model = l.model")
+def q_model_compare(spark, sf):
+    models = spark.createDataFrame([(m,) for m in MODEL_LIST], "model string")
+    return ev.model_compare(_multi(spark, sf), models).select(
+        "model", "optimized", "seqeval_precision", "seqeval_recall", "seqeval_f1", "n_chunks")
+
+
+@query("model_gain", """
+SELECT count(*) FILTER (WHERE NOT contains(lower(model), 'optimized')) AS n_baseline,
+       count(*) FILTER (WHERE contains(lower(model), 'optimized')) AS n_optimized,
+       round(avg(f1) FILTER (WHERE NOT contains(lower(model), 'optimized')), 6) AS f1_baseline,
+       round(avg(f1) FILTER (WHERE contains(lower(model), 'optimized')), 6) AS f1_optimized,
+       round((avg(f1) FILTER (WHERE contains(lower(model), 'optimized'))
+              - avg(f1) FILTER (WHERE NOT contains(lower(model), 'optimized'))) * 100, 4) AS gain_points
+FROM o_seq_models""")
+def q_model_gain(spark, sf):
+    return ev.model_gain(_multi(spark, sf))

@@ -38,9 +38,14 @@ def configure(spark: SparkSession) -> None:
 
     * co-partitioning on a subset of join keys: our per-document plans are
       hash partitioned on ``doc_id`` once; joins on ``(doc_id, label)`` can
-      reuse that layout instead of shuffling again.
+      reuse that layout instead of shuffling again;
+    * union output partitioning off (see below).
     """
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # A union of hash-partitioned children must not claim their partitioning:
+    # combined with the relaxed co-partitioning above it can yield a plan whose
+    # RDD partition counts disagree.  The cost is one small shuffle after unions.
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
