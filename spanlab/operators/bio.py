@@ -27,15 +27,19 @@ def start_flag(tag: Column, prev: Column) -> Column:
 
 
 def decode(tags: DataFrame, doc_col: str = "doc_id", order_col: str = "s",
-           tag_col: str = "tag", score_col: str | None = "score") -> DataFrame:
-    """Token tags -> entities ``(doc_id, ord, start, end, label, score, n_tokens)``.
+           tag_col: str = "tag", score_col: str | None = "score",
+           keys: tuple[str, ...] = ()) -> DataFrame:
+    """Token tags -> entities
+    ``(doc_id, *keys, ord, label, start, end, n_tokens, first_end, last_start[, score])``.
 
     Gaps and islands: a start flag from ``lag(tag)``, entity number = running
-    count of flags, then one aggregate per ``(doc_id, ord)``.  ``O`` ends an
-    entity; an orphan ``I-`` opens one.  ``score`` is the mean token score
-    rounded to 4 places (A20).
+    count of flags, then one aggregate per entity.  ``O`` ends an entity; an
+    orphan ``I-`` opens one.  ``score`` is the mean token score rounded to 4
+    places (A20).  ``keys`` decode several tag sequences per document in the
+    same pass (e.g. gold and prediction, or one per model).
     """
-    w = Window.partitionBy(doc_col).orderBy(order_col)
+    part = [doc_col, *keys]
+    w = Window.partitionBy(*part).orderBy(order_col)
     flagged = tags.withColumn(
         "_flag", start_flag(F.col(tag_col), F.lag(tag_col).over(w)).cast("int"))
     flagged = flagged.withColumn(
@@ -44,16 +48,29 @@ def decode(tags: DataFrame, doc_col: str = "doc_id", order_col: str = "s",
         F.min("s").alias("start"),
         F.max("e").alias("end"),
         F.count("*").alias("n_tokens"),
+        F.min_by("e", "s").alias("first_end"),
+        F.max("s").alias("last_start"),
     ]
     if score_col is not None:
         aggs.append(F.round(F.avg(score_col), 4).alias("score"))
     # every token of an entity has the same type: grouping by it keeps the
     # groups and leaves only numeric (hash) aggregates
     return (flagged.where(F.col(tag_col) != "O")
-            .groupBy(doc_col, "ord", F.substring(tag_col, 3, 1 << 30).alias("label"))
+            .groupBy(*part, "ord", F.substring(tag_col, 3, 1 << 30).alias("label"))
             .agg(*aggs))
 
 
+def reuse_boundary(df: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+    """A shuffle boundary on ``doc_id`` with an explicit partition count.
+
+    Consumers of the result inside one plan read the same shuffle output
+    (ReusedExchange) instead of recomputing the lineage below it; the output
+    stays partitioned on ``doc_id`` for the per-document steps after it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, doc_col)
+
+
 def with_text(entities: DataFrame, docs: DataFrame, doc_col: str = "doc_id",
               text_col: str = "text", start: str = "start", end: str = "end",
               out: str = "text") -> DataFrame:

@@ -114,8 +114,15 @@ def outcomes(gold: DataFrame, pred: DataFrame, matched: DataFrame,
 
 def strict_outcomes(gold: DataFrame, pred: DataFrame, keys: tuple[str, ...] = ("doc_id",)
                     ) -> DataFrame:
-    """M7 core: overlap join -> greedy match -> outcome per entity."""
-    return outcomes(gold, pred, greedy_match(overlap_pairs(gold, pred, keys), keys), keys)
+    """M7 core: overlap join -> greedy match -> outcome per entity.
+
+    The matched pairs feed three consumers (pairs, unmatched gold, unmatched
+    predictions); a reusable shuffle boundary keeps them from recomputing
+    the join and the fold.
+    """
+    from spanlab.operators.bio import reuse_boundary
+    matched = reuse_boundary(greedy_match(overlap_pairs(gold, pred, keys), keys), keys[0])
+    return outcomes(gold, pred, matched, keys)
 
 
 def errors_with_text(out: DataFrame, docs: DataFrame, doc_col: str = "doc_id") -> DataFrame:

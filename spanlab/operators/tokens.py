@@ -37,7 +37,9 @@ def tokenize(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -
     running sum of the lengths of the pieces before it (one ordered window per
     document, no Python).  ``i`` is the 0-based token index.
     """
-    lead = F.col(text_col).rlike(r"^\s").cast("int")
+    # test the first character only: the projection runs once per piece, and
+    # a regex find over the whole text there would be quadratic per document
+    lead = F.substring(F.col(text_col), 1, 1).rlike(r"\s").cast("int")
     pieces = docs.select(
         F.col(doc_col),
         lead.alias("_lead"),

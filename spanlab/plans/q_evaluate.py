@@ -77,10 +77,12 @@ FROM (SELECT *, {p} AS p, {r} AS r FROM {src})"""
 # ---- Spark side: one token source feeds gold and predictions ---------------------
 
 def gold_pred(spark, sf, model: str = tv.DEFAULT_MODEL):
+    """Documents, gold and predicted entities: decoded in one pass and read
+    from one reused shuffle by every consumer."""
     d = tv.docs(spark, sf)
-    gt = tv.gold_tags_of(tok.tokenize(d))
-    gold = bio.decode(gt, score_col=None)
-    pred = bio.decode(tv.pred_tags_of(gt, model, dict(tv.MODELS)[model]))
+    ents = tv.entities_by_side(spark, sf, [(model, dict(tv.MODELS)[model])])
+    gold = ents.where(F.col("side") == "gold").drop("side", "score")
+    pred = ents.where(F.col("side") == model).drop("side")
     return d, gold, pred
 
 

@@ -99,6 +99,34 @@ def preds_multi_tags(spark, sf_dir) -> DataFrame:
     return out
 
 
+def sides_of(gold_tags: DataFrame, models: list[tuple[str, int]] | None = None) -> DataFrame:
+    """Gold tags and predicted tags of the given models as one token table
+    keyed by ``side`` ('gold' or the model name), built in a single pass over
+    the tokens (explode of one struct per side, no union)."""
+    models = [(DEFAULT_MODEL, dict(MODELS)[DEFAULT_MODEL])] if models is None else models
+    g = gold_tags.withColumn("_hb", md5_bucket(F.concat(F.col("w"), F.lit("h"))))
+    items = [F.struct(F.lit("gold").alias("side"), F.col("tag").alias("tag"),
+                      F.lit(1.0).alias("score"))]
+    for m, noise in models:
+        key = F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("s").cast("string"),
+                       F.lit("/"), F.lit(m))
+        noisy = md5_bucket(F.concat(key, F.lit("p"))) < noise
+        tag = F.when(noisy, tag_from_bucket(F.col("_hb"))).otherwise(F.col("tag"))
+        score = (F.lit(0.5) + md5_bucket(F.concat(key, F.lit("q")), 128).cast("double")
+                 / F.lit(256.0))
+        items.append(F.struct(F.lit(m).alias("side"), tag.alias("tag"), score.alias("score")))
+    out = g.select("doc_id", "i", "s", "e", "w", F.explode(F.array(*items)).alias("_x"))
+    return out.select("doc_id", "i", "s", "e", "w", "_x.side", "_x.tag", "_x.score")
+
+
+def entities_by_side(spark, sf_dir, models: list[tuple[str, int]] | None = None) -> DataFrame:
+    """Decoded gold and predicted entities in one table (``side`` column),
+    behind a reusable shuffle boundary: tokenised and decoded once, read by
+    every consumer of the plan."""
+    t = sides_of(gold_tags(spark, sf_dir), models)
+    return bio.reuse_boundary(bio.decode(t, keys=("side",)))
+
+
 def gold(spark, sf_dir) -> DataFrame:
     """v_gold: decoded gold entities ``(doc_id, ord, start, end, label, n_tokens)``."""
     return bio.decode(gold_tags(spark, sf_dir), score_col=None)
@@ -117,15 +145,10 @@ def ann_csv(spark, sf_dir) -> DataFrame:
     """
     d = docs(spark, sf_dir)
     g = bio.with_text(gold(spark, sf_dir), d)
-    t = tokens(spark, sf_dir).select("doc_id", "i", "s", "e")
-    # first token end and last token start of each entity
-    first_e = t.select("doc_id", F.col("s").alias("start"), F.col("e").alias("first_e"))
-    last_s = t.select("doc_id", F.col("e").alias("end"), F.col("s").alias("last_s"))
-    g = g.join(first_e, ["doc_id", "start"], "left").join(last_s, ["doc_id", "end"], "left")
     disc = ((F.col("ord") % 7) == 0) & (F.col("n_tokens") >= 2)
     span = F.when(disc, F.concat_ws(" ", F.col("start").cast("string"),
-                                    F.concat(F.col("first_e").cast("string"), F.lit(";"),
-                                             F.col("last_s").cast("string")),
+                                    F.concat(F.col("first_end").cast("string"), F.lit(";"),
+                                             F.col("last_start").cast("string")),
                                     F.col("end").cast("string"))
                   ).otherwise(F.concat_ws(" ", F.col("start").cast("string"),
                                           F.col("end").cast("string")))
@@ -146,15 +169,12 @@ def ann_csv(spark, sf_dir) -> DataFrame:
     )
 
 
-def _span_string(g: DataFrame, t: DataFrame) -> DataFrame:
+def _span_string(g: DataFrame) -> DataFrame:
     """Add ``sp``: ``"s e"``, or ``"s m;n e"`` for every 7th entity of >= 2 tokens."""
-    first_e = t.select("doc_id", F.col("s").alias("start"), F.col("e").alias("first_e"))
-    last_s = t.select("doc_id", F.col("e").alias("end"), F.col("s").alias("last_s"))
-    g = g.join(first_e, ["doc_id", "start"], "left").join(last_s, ["doc_id", "end"], "left")
     disc = ((F.col("ord") % 7) == 0) & (F.col("n_tokens") >= 2)
     return g.withColumn("sp", F.when(disc, F.concat_ws(
         " ", F.col("start").cast("string"),
-        F.concat(F.col("first_e").cast("string"), F.lit(";"), F.col("last_s").cast("string")),
+        F.concat(F.col("first_end").cast("string"), F.lit(";"), F.col("last_start").cast("string")),
         F.col("end").cast("string"))).otherwise(
         F.concat_ws(" ", F.col("start").cast("string"), F.col("end").cast("string"))))
 
@@ -170,7 +190,7 @@ def ann_lines(spark, sf_dir) -> DataFrame:
     """
     d = docs(spark, sf_dir)
     g = bio.with_text(gold(spark, sf_dir), d)
-    g = _span_string(g, tokens(spark, sf_dir).select("doc_id", "s", "e"))
+    g = _span_string(g)
     code = F.concat(F.lit("8"), F.lpad(md5_bucket(F.concat("label", F.lit("|"), "text"), 1000)
                                        .cast("string"), 3, "0"), F.lit("/3"))
     tid = F.concat(F.lit("T"), F.col("ord").cast("string"))
