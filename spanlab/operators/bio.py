@@ -60,15 +60,16 @@ def decode(tags: DataFrame, doc_col: str = "doc_id", order_col: str = "s",
             .agg(*aggs))
 
 
-def reuse_boundary(df: DataFrame, doc_col: str = "doc_id") -> DataFrame:
-    """A shuffle boundary on ``doc_id`` with an explicit partition count.
+def materialize(df: DataFrame) -> DataFrame:
+    """Keep an intermediate that several consumers of one plan read.
 
-    Consumers of the result inside one plan read the same shuffle output
-    (ReusedExchange) instead of recomputing the lineage below it; the output
-    stays partitioned on ``doc_id`` for the per-document steps after it.
+    ``persist(MEMORY_AND_DISK)``: the optimizer does not push consumer
+    filters/projections through it (a repartition would be split into one
+    exchange per consumer), and lost blocks are recomputed from lineage, so
+    the job survives executor loss.  Use for tables read 3+ times.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, doc_col)
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def with_text(entities: DataFrame, docs: DataFrame, doc_col: str = "doc_id",

@@ -116,12 +116,12 @@ def strict_outcomes(gold: DataFrame, pred: DataFrame, keys: tuple[str, ...] = ("
                     ) -> DataFrame:
     """M7 core: overlap join -> greedy match -> outcome per entity.
 
-    The matched pairs feed three consumers (pairs, unmatched gold, unmatched
-    predictions); a reusable shuffle boundary keeps them from recomputing
-    the join and the fold.
+    The matched pairs (at most min(|gold|, |pred|) rows) feed three consumers
+    (pairs, unmatched gold, unmatched predictions); they are materialised so
+    the join and the fold run once.
     """
-    from spanlab.operators.bio import reuse_boundary
-    matched = reuse_boundary(greedy_match(overlap_pairs(gold, pred, keys), keys), keys[0])
+    from spanlab.operators.bio import materialize
+    matched = materialize(greedy_match(overlap_pairs(gold, pred, keys), keys))
     return outcomes(gold, pred, matched, keys)
 
 

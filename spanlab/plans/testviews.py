@@ -121,10 +121,9 @@ def sides_of(gold_tags: DataFrame, models: list[tuple[str, int]] | None = None)
 
 def entities_by_side(spark, sf_dir, models: list[tuple[str, int]] | None = None) -> DataFrame:
     """Decoded gold and predicted entities in one table (``side`` column),
-    behind a reusable shuffle boundary: tokenised and decoded once, read by
-    every consumer of the plan."""
+    materialised: tokenised and decoded once, read by every consumer."""
     t = sides_of(gold_tags(spark, sf_dir), models)
-    return bio.reuse_boundary(bio.decode(t, keys=("side",)))
+    return bio.materialize(bio.decode(t, keys=("side",)))
 
 
 def gold(spark, sf_dir) -> DataFrame:

@@ -113,3 +113,30 @@ def test_fuzzy_matches_brute_force(spark, idx):
             if s >= 0.7 and s > 0 and (best is None or (-s, c) < (-best[0], best[1])):
                 best = (s, c, code)
         assert got[k] == (best[2] if best else None), (text, lab)
+
+
+@pytest.mark.parametrize("t", [0.5, 0.8, 0.9])
+def test_passjoin_equals_length_band(spark, t):
+    import random
+    rnd = random.Random(int(t * 100))
+    alphabet = "abcde "
+    lex = [("l", "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 18))), f"c{k}", k)
+           for k in range(150)]
+    idx = lx.index(spark.createDataFrame(lex, "label string, content string, code string, ordinal long"))
+    ms = []
+    for k in range(120):
+        w = list(rnd.choice(lex)[1])
+        for _ in range(rnd.randint(0, 4)):
+            op = rnd.randrange(3)
+            p = rnd.randrange(len(w) + 1)
+            if op == 0:
+                w.insert(p, rnd.choice(alphabet))
+            elif op == 1 and p < len(w):
+                del w[p]
+            elif p < len(w):
+                w[p] = rnd.choice(alphabet)
+        ms.append((k, "".join(w).strip() or "a", "l"))
+    m = lx.mention_keys(spark.createDataFrame(ms, "id long, text string, label string"))
+    a = {(r.content_key, r.lex_key) for r in lx.fuzzy_candidates(m, idx, t, "passjoin").collect()}
+    b = {(r.content_key, r.lex_key) for r in lx.fuzzy_candidates(m, idx, t, "length").collect()}
+    assert a == b and len(b) > 0
