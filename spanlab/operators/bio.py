@@ -60,6 +60,35 @@ def decode(tags: DataFrame, doc_col: str = "doc_id", order_col: str = "s",
             .agg(*aggs))
 
 
+def decode_columns(tags: DataFrame, sides: dict[str, tuple[str, str | None]],
+                   doc_col: str = "doc_id", order_col: str = "s") -> DataFrame:
+    """W3 for several tag columns of the same tokens in one pass.
+
+    ``sides`` maps a side name to ``(tag column, score column or None)``;
+    e.g. gold plus every model's prediction.  One sort on the token order;
+    the lag and running-count windows of all columns run in the same Window
+    operators; only non-``O`` tokens are exploded to ``(side, ...)`` rows.
+    Output as :func:`decode` with ``keys=("side",)``.
+    """
+    w = Window.partitionBy(doc_col).orderBy(order_col)
+    df = tags
+    for k, (tc, _) in sides.items():
+        df = df.withColumn(f"_f_{k}", start_flag(F.col(tc), F.lag(tc).over(w)).cast("int"))
+    for k in sides:
+        df = df.withColumn(f"_o_{k}",
+                           F.sum(f"_f_{k}").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    items = [F.struct(F.lit(k).alias("side"), F.col(tc).alias("tag"), F.col(f"_o_{k}").alias("ord"),
+                      (F.col(sc) if sc else F.lit(None).cast("double")).alias("score"))
+             for k, (tc, sc) in sides.items()]
+    ex = df.select(doc_col, "s", "e", F.explode(F.array(*items)).alias("_x"))
+    ex = ex.where(F.col("_x.tag") != "O")
+    return ex.groupBy(doc_col, F.col("_x.side").alias("side"), F.col("_x.ord").alias("ord"),
+                      F.substring("_x.tag", 3, 1 << 30).alias("label")).agg(
+        F.min("s").alias("start"), F.max("e").alias("end"), F.count("*").alias("n_tokens"),
+        F.min_by("e", "s").alias("first_end"), F.max("s").alias("last_start"),
+        F.round(F.avg("_x.score"), 4).alias("score"))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Keep an intermediate that several consumers of one plan read.
 

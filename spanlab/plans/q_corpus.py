@@ -19,7 +19,10 @@ from spanlab.plans import q_tokens  # noqa: F401
 
 
 def cleaned(spark, sf):
-    return corpus.clean(tv.ann_csv(spark, sf))
+    """The cleaned annotation image, materialised: split and stats plans read
+    it more than once."""
+    from spanlab.operators.bio import materialize
+    return materialize(corpus.clean(tv.ann_csv(spark, sf)))
 
 
 @query("clean_corpus", """

@@ -235,7 +235,7 @@ LEFT JOIN (SELECT {('g.' + group + ', ') if group else ''}count(*) AS n FROM {ge
 
 
 def _seq_pairs(spark, sf):
-    t = tv.tokens(spark, sf)
+    t = bio.materialize(tv.tokens(spark, sf))
     wt = tok.window_tokens(t, qt.MAX_LEN, qt.STRIDE, qt.SPECIALS)
     al = bio.align(t, bio.dedupe_spans(qt.gold_spans(spark, sf)))
     gl = bio.window_labels(wt, al, qt.MAX_LEN, qt.STRIDE, qt.SPECIALS, mask="none")
@@ -259,13 +259,14 @@ register("o_seq_models", "o_seq_models AS (" + _seq_sql("o_seq_multi", "doc_id,
 
 
 def _multi(spark, sf):
+    """Sequence evaluation of every model in one grouped pass: the models'
+    tags come from one scan of the tokens (one column pair per model)."""
     gl, t, _ = _seq_pairs(spark, sf)
-    g = tv.gold_tags_of(t)
-    preds = None
-    for m, noise in tv.MODELS:
-        p = tv.pred_tags_of(g, m, noise).select("doc_id", "i", F.col("tag").alias("pred_tag")) \
-            .withColumn("model", F.lit(m))
-        preds = p if preds is None else preds.unionByName(p)
+    wide = tv.sides_of(tv.gold_tags_of(t), tv.MODELS)
+    items = [F.struct(F.lit(m).alias("model"), F.col(f"tag_{m}").alias("pred_tag"))
+             for m, _ in tv.MODELS]
+    preds = wide.select("doc_id", "i", F.explode(F.array(*items)).alias("_p")) \
+        .select("doc_id", "i", "_p.model", "_p.pred_tag")
     pairs = gl.select("doc_id", "chunk", "j", "i", F.col("tag").alias("gold_tag")).join(
         preds, ["doc_id", "i"])
     return ev.seq_eval(pairs, group=("model",))

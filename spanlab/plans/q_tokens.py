@@ -37,7 +37,9 @@ def q_truncate(spark, sf):
 SELECT doc_id, ord, start, "end", label, score, n_tokens, text FROM v_pred_text""")
 def q_decode_bio(spark, sf):
     d = tv.docs(spark, sf)
-    return bio.with_text(bio.decode(tv.pred_tags_of(tv.gold_tags_of(tok.tokenize(d)), "m1", 20)), d)
+    ents = bio.decode(tv.pred_tags_of(tv.gold_tags_of(tok.tokenize(d)), "m1", 20))
+    return bio.with_text(ents, d).select("doc_id", "ord", "start", "end", "label", "score",
+                                         "n_tokens", "text")
 
 
 @query("window_counts", rf"""
@@ -85,10 +87,10 @@ def q_windows(spark, sf):
 def gold_spans(spark, sf):
     """Cleaned CSV annotations as spans ``(doc_id, ord, start, end, label)``."""
     c = corpus.clean(tv.ann_csv(spark, sf))
-    return c.select(
+    return bio.materialize(c.select(
         F.regexp_extract("doc_name", r"^doc_(\d+)", 1).cast("long").alias("doc_id"),
         F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("ord"),
-        F.col("span_start").alias("start"), F.col("span_end").alias("end"), "label")
+        F.col("span_start").alias("start"), F.col("span_end").alias("end"), "label"))
 
 
 register("o_clean", r"""o_clean AS (
@@ -120,7 +122,8 @@ register("o_align", """o_align AS (
 
 
 def aligned(spark, sf):
-    return bio.align(tv.tokens(spark, sf), bio.dedupe_spans(gold_spans(spark, sf)))
+    t = bio.materialize(tv.tokens(spark, sf))  # read by the range join and the final join
+    return bio.align(t, bio.dedupe_spans(gold_spans(spark, sf)))
 
 
 @query("gold_dedupe", """SELECT doc_id, start, "end", ord, label FROM o_dedupe""")
@@ -134,7 +137,7 @@ def q_align_bio(spark, sf):
 
 
 def _window_labels(spark, sf, mask):
-    t = tv.tokens(spark, sf)
+    t = bio.materialize(tv.tokens(spark, sf))  # read by windows and by the alignment
     wt = tok.window_tokens(t, MAX_LEN, STRIDE, SPECIALS)
     al = bio.align(t, bio.dedupe_spans(gold_spans(spark, sf)))
     return bio.window_labels(wt, al, MAX_LEN, STRIDE, SPECIALS, mask=mask)
@@ -187,7 +190,7 @@ def q_window_pad(spark, sf):
 def window_preds(spark, sf):
     """Per-window predictions: the token's m1 prediction, re-tagged in ~10% of
     (window, token) positions so that overlapping windows disagree."""
-    t = tv.tokens(spark, sf)
+    t = bio.materialize(tv.tokens(spark, sf))
     pt = tv.pred_tags_of(tv.gold_tags_of(t), "m1", 20)
     wt = tok.window_tokens(t, MAX_LEN, STRIDE, SPECIALS).select("doc_id", "chunk", "j", "i")
     j = wt.join(pt, ["doc_id", "i"])

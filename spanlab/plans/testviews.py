@@ -100,30 +100,29 @@ def preds_multi_tags(spark, sf_dir) -> DataFrame:
 
 
 def sides_of(gold_tags: DataFrame, models: list[tuple[str, int]] | None = None) -> DataFrame:
-    """Gold tags and predicted tags of the given models as one token table
-    keyed by ``side`` ('gold' or the model name), built in a single pass over
-    the tokens (explode of one struct per side, no union)."""
+    """Gold tags plus one (tag, score) column pair per model, on the same
+    token rows (``tag_<model>``, ``score_<model>``)."""
     models = [(DEFAULT_MODEL, dict(MODELS)[DEFAULT_MODEL])] if models is None else models
     g = gold_tags.withColumn("_hb", md5_bucket(F.concat(F.col("w"), F.lit("h"))))
-    items = [F.struct(F.lit("gold").alias("side"), F.col("tag").alias("tag"),
-                      F.lit(1.0).alias("score"))]
     for m, noise in models:
         key = F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("s").cast("string"),
                        F.lit("/"), F.lit(m))
         noisy = md5_bucket(F.concat(key, F.lit("p"))) < noise
-        tag = F.when(noisy, tag_from_bucket(F.col("_hb"))).otherwise(F.col("tag"))
-        score = (F.lit(0.5) + md5_bucket(F.concat(key, F.lit("q")), 128).cast("double")
-                 / F.lit(256.0))
-        items.append(F.struct(F.lit(m).alias("side"), tag.alias("tag"), score.alias("score")))
-    out = g.select("doc_id", "i", "s", "e", "w", F.explode(F.array(*items)).alias("_x"))
-    return out.select("doc_id", "i", "s", "e", "w", "_x.side", "_x.tag", "_x.score")
+        g = g.withColumn(f"tag_{m}", F.when(noisy, tag_from_bucket(F.col("_hb")))
+                         .otherwise(F.col("tag")))
+        g = g.withColumn(f"score_{m}", F.lit(0.5) + md5_bucket(F.concat(key, F.lit("q")), 128)
+                         .cast("double") / F.lit(256.0))
+    return g.drop("_hb")
 
 
 def entities_by_side(spark, sf_dir, models: list[tuple[str, int]] | None = None) -> DataFrame:
     """Decoded gold and predicted entities in one table (``side`` column),
-    materialised: tokenised and decoded once, read by every consumer."""
+    decoded in one pass and materialised: read by every consumer."""
+    models = [(DEFAULT_MODEL, dict(MODELS)[DEFAULT_MODEL])] if models is None else models
     t = sides_of(gold_tags(spark, sf_dir), models)
-    return bio.materialize(bio.decode(t, keys=("side",)))
+    sides = {"gold": ("tag", None)}
+    sides.update({m: (f"tag_{m}", f"score_{m}") for m, _ in models})
+    return bio.materialize(bio.decode_columns(t, sides))
 
 
 def gold(spark, sf_dir) -> DataFrame:

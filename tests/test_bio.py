@@ -117,3 +117,25 @@ def test_pad_windows(spark):
     assert p.attention_mask == [1, 1, 1, 0, 0, 0, 0, 0]
     assert p.labels == [0, 0, 0, -100, -100, -100, -100, -100]
     assert len(p.tokens) == 8
+
+
+def test_decode_columns_equals_decode(spark):
+    import random
+    rnd = random.Random(5)
+    labels = ["O", "B-morphologie", "I-morphologie", "I-topographie", "B-topographie"]
+    rows = [(d, k, 10 * k, 10 * k + 9, rnd.choice(labels), rnd.choice(labels), rnd.randint(1, 255) / 256)
+            for d in range(6) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, i int, s int, e int, tag string, tag_m string, "
+                                     "score_m double")
+    multi = bio.decode_columns(df, {"gold": ("tag", None), "m": ("tag_m", "score_m")})
+    cols = ["doc_id", "ord", "label", "start", "end", "n_tokens"]
+    for side, tc, sc in (("gold", "tag", None), ("m", "tag_m", "score_m")):
+        one = bio.decode(df.withColumnRenamed(tc, "t_").withColumnRenamed("t_", "tag_x"),
+                         tag_col="tag_x", score_col=sc)
+        a = sorted(tuple(r) for r in multi.where(f"side = '{side}'").select(*cols).collect())
+        b = sorted(tuple(r) for r in one.select(*cols).collect())
+        assert a == b
+    sc = sorted(r.score for r in multi.where("side = 'm'").collect())
+    assert sc == sorted(r.score for r in bio.decode(df.select("doc_id", "i", "s", "e",
+                                                              F.col("tag_m").alias("tag"),
+                                                              F.col("score_m").alias("score"))).collect())
