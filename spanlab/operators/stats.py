@@ -22,7 +22,9 @@ def class_weights(entities: DataFrame, spark: SparkSession, label_col: str = "la
     counts = entities.groupBy(F.col(label_col).alias("_type")).agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_max", F.max("_n").over(Window.partitionBy()))
     vocab = vocabulary(spark).withColumn("_type", F.substring("label", 3, 1 << 30))
-    j = vocab.join(F.broadcast(counts), "_type", "left")
+    # one count row per label present in the data: no broadcast hint (its size
+    # is not bounded by the vocabulary); AQE broadcasts it when it measures small
+    j = vocab.join(counts, "_type", "left")
     mx = F.max("_max").over(Window.partitionBy())  # spread max to absent labels (9 rows)
     w = F.when(F.col("label") == "O", F.lit(1.0)).otherwise(
         F.round(F.sqrt(mx.cast("double") / F.coalesce("_n", F.lit(1)).cast("double")), 6))
