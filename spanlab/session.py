@@ -42,6 +42,17 @@ def configure(spark: SparkSession) -> None:
     * union output partitioning off (see below).
     """
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # Broadcast only on measured sizes.  The static planner estimates from file
+    # sizes and does not scale through explode, so a 2 MB text table exploded
+    # into tokens x n-grams was once broadcast at > 1 GB.  AQE decides after the
+    # shuffle map stage, on the bytes actually written; explicit broadcast()
+    # hints (label vocabulary, bucket offsets: bounded by construction) still apply.
+    adaptive = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    if not adaptive:
+        static = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold",
+                       static if static.strip() != "-1" else "10485760")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     # A union of hash-partitioned children must not claim their partitioning:
     # combined with the relaxed co-partitioning above it can yield a plan whose
     # RDD partition counts disagree.  The cost is one small shuffle after unions.
