@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spanlab.llm import bpe
+from spanlab.llm import bpe, langid
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op3_language_id": langid.op3_language_id,
 }
 ORACLE: dict[str, str] = {}
