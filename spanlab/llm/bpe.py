@@ -4,11 +4,11 @@
    ``block_bytes``) keeps its distinct words once and, for every pre-token in
    order, the word's slot in the block: the exploded (word, position) pairs in
    compact form.  Blocks are one written table.
-2. The blocks' words are exploded and made distinct over the whole corpus; each
-   is encoded once.
-3. Ids are joined back to (block, slot), a hot word being a row per block that
-   Spark may split, and meet the block's slots again, which restores the ids of
-   each document by position.
+2. A block's words are dealt by hash into ``buckets`` packed rows.  All rows of a
+   bucket meet in one task, which encodes each distinct word once.  A frequent
+   word is one entry of each block's row, so buckets are even at any skew.
+3. The ids go back to the block packed in the same order and meet its slots
+   again, which restores the ids of each document by position.
 
 Decoding joins ids with the token-byte table, which is bounded by the
 vocabulary and therefore broadcast.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import heapq
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ from pyspark.sql import types as T
 
 from spanlab.llm.common import materialise, read
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
+BUCKETS = 256
 #: A rank file of more bytes than this is refused: it is broadcast to every task.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -83,46 +85,81 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _cut_blocks(pattern: str, block_bytes: int):
+def pack(a: np.ndarray) -> bytes:
+    """Unsigned integers, byte plane by byte plane, compressed."""
+    a = np.ascontiguousarray(a, dtype="<u4")
+    planes = a.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(a).to_bytes(8, "little") + pa.Codec("zstd").compress(planes, asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = pa.Codec("zstd").decompress(data[8:], 4 * n, asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(4, n).T.copy().view("<u4").reshape(-1)
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    lens = pack(np.array([len(w) for w in words], np.uint32))
+    return len(lens).to_bytes(8, "little") + lens + pa.Codec("zstd").compress(b"".join(words), asbytes=True)
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:8], "little")
+    stops = np.cumsum(unpack(data[8:8 + n]), dtype=np.int64)
+    joined = pa.Codec("zstd").decompress(data[8 + n:], int(stops[-1]) if len(stops) else 0, asbytes=True)
+    starts = [0, *stops.tolist()]
+    return [joined[a:b] for a, b in zip(starts, starts[1:])]
+
+
+def _cut_blocks(pattern: str, block_bytes: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         from pyspark import TaskContext
 
         find = regex.compile(pattern).findall
         task = TaskContext.get().partitionId()
-        schema = None
-        n_blocks, held = 0, 0
+        id_type = None
+        n_blocks = held = 0
         ids: list = []
         counts: list[int] = []
         slots: list[np.ndarray] = []
         words: dict[str, int] = {}
 
-        def flush():
+        def flush() -> pa.RecordBatch:
             nonlocal n_blocks, held, ids, counts, slots, words
-            flat = np.concatenate(slots) if slots else np.zeros(0, np.uint32)
-            kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
+            flat = np.concatenate(slots)
+            # frequent words get small slots: their high bytes pack to nothing
+            order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            listed = [w.encode() for w in words]
+            listed = [listed[i] for i in order]
+            bucket = np.array([zlib.crc32(w) % buckets for w in listed], np.uint32)
+            parts: dict[int, list[bytes]] = {}
+            for w, b in zip(listed, bucket.tolist()):
+                parts.setdefault(b, []).append(w)
             out = pa.record_batch([
                 pa.array([(task << 32) | n_blocks], pa.int64()),
-                pa.array([ids], pa.list_(schema)),
+                pa.array([ids], pa.list_(id_type)),
                 pa.array([counts], pa.list_(pa.int32())),
-                pa.array([flat.astype(kind).tobytes()], pa.binary()),
-                pa.array([kind().itemsize], pa.int32()),
-                pa.array([[w.encode() for w in words]], pa.list_(pa.binary())),
-            ], names=["block", "ids", "counts", "slots", "slot_bytes", "words"])
+                pa.array([pack(rank[flat])], pa.binary()),
+                pa.array([pack(bucket)], pa.binary()),
+                pa.array([[{"bucket": b, "words": pack_words(w)} for b, w in sorted(parts.items())]],
+                         pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))),
+            ], names=["block", "ids", "counts", "slots", "bucket_of", "parts"])
             n_blocks, held, ids, counts, slots, words = n_blocks + 1, 0, [], [], [], {}
             return out
 
         for batch in batches:
-            schema = batch.schema.field(0).type
+            id_type = batch.schema.field(0).type
             keys, texts = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
                 text = texts[i].as_py() or ""
                 found = find(text)
                 slot = words.setdefault
-                at = np.fromiter([slot(w, len(words)) for w in found], np.uint32, len(found))
                 ids.append(keys[i].as_py())
                 counts.append(len(found))
-                slots.append(at)
+                slots.append(np.fromiter([slot(w, len(words)) for w in found], np.int64, len(found)))
                 held += len(text)
                 if held >= block_bytes:
                     yield flush()
@@ -131,48 +168,68 @@ def _cut_blocks(pattern: str, block_bytes: int):
     return run
 
 
-def _encode_words(ranks):
+def _encode_buckets(ranks):
+    """Rows of a bucket in turn -> each block's ids of that bucket's words, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks.value
+        table, bucket = ranks.value, None
+        known: dict[bytes, list[int]] = {}
         for batch in batches:
-            words = batch.column(0)
-            ids = [encode_word(w, table) for w in words.to_pylist()]
-            yield pa.record_batch([words, pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            blocks, out = [], []
+            for block, at, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != bucket:
+                    known, bucket = {}, at
+                coded = []
+                for w in unpack_words(words):
+                    ids = known.get(w)
+                    if ids is None:
+                        ids = known[w] = encode_word(w, table)
+                    coded.append(ids)
+                lens = pack(np.array([len(c) for c in coded], np.uint32))
+                flat = pack(np.array([i for c in coded for i in c], np.uint32))
+                blocks.append((block, at))
+                out.append(len(lens).to_bytes(8, "little") + lens + flat)
+            yield pa.record_batch([
+                pa.array([b for b, _ in blocks], pa.int64()), pa.array([b for _, b in blocks], pa.int32()),
+                pa.array(out, pa.binary())], names=["block", "bucket", "codes"])
     return run
 
 
 def _join_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ids, counts, slots, slot_bytes, codes) of a block -> its documents' ids."""
+    """(ids, counts, slots, bucket_of, codes) of a block -> its documents' ids."""
     for batch in batches:
-        for b in range(batch.num_rows):
-            row = {n: batch.column(i)[b] for i, n in enumerate(batch.schema.names)}
-            keys, counts = row["ids"].values, np.asarray(row["counts"].values)
-            kind = np.uint16 if row["slot_bytes"].as_py() == 2 else np.uint32
-            slots = np.frombuffer(row["slots"].as_py(), kind)
-            codes = row["codes"]
-            n_words = len(codes.values) if codes.is_valid else 0
-            lens = np.zeros(n_words, np.int64)
-            starts = np.zeros(n_words, np.int64)
-            flat = np.zeros(0, np.int32)
-            if n_words:
-                entries = codes.values
-                at = np.asarray(entries.field("slot"))
-                lists = entries.field("ids")
-                flat = np.asarray(lists.flatten())
-                size = np.asarray(lists.value_lengths()).astype(np.int64)
-                lens[at] = size
-                starts[at] = np.cumsum(size) - size
-            each = lens[slots]
-            stop = np.cumsum(each)
-            total = int(stop[-1]) if len(stop) else 0
-            out = flat[np.repeat(starts[slots] - (stop - each), each) + np.arange(total)]
-            ends = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(counts)])]
-            tokens = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(out, pa.int32()))
-            yield pa.record_batch([keys, tokens.cast(pa.list_(pa.int32()))], names=["id", "tokens"])
+        for row in range(batch.num_rows):
+            keys, counts, slots, bucket_of, codes = (c[row] for c in batch.columns)
+            counts, slots = np.asarray(counts.values), unpack(slots.as_py())
+            lens, flat = [], []
+            for part in sorted(codes.as_py() or [], key=lambda p: p["bucket"]):
+                data = part["codes"]
+                n = int.from_bytes(data[:8], "little")
+                lens.append(unpack(data[8:8 + n]))
+                flat.append(unpack(data[8 + n:]))
+            # the parts hold the words by (bucket, slot); size and start of each slot's ids
+            by_bucket = np.argsort(unpack(bucket_of.as_py()), kind="stable")
+            size = np.zeros(len(by_bucket), np.int64)
+            start = np.zeros(len(by_bucket), np.int64)
+            if lens:
+                n = np.concatenate(lens).astype(np.int64)
+                size[by_bucket], start[by_bucket] = n, np.cumsum(n) - n
+            codebook = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+            stops = np.concatenate([[0], np.cumsum(counts)])
+            for first in range(0, len(counts), 512):  # documents at a time
+                last = min(first + 512, len(counts))
+                at = slots[stops[first]:stops[last]]
+                each = size[at]
+                ends = np.concatenate([[0], np.cumsum(each)])
+                out = codebook[np.repeat(start[at] - ends[:-1], each) + np.arange(ends[-1])]
+                bounds = ends[stops[first:last + 1] - stops[first]]
+                tokens = pa.LargeListArray.from_arrays(
+                    pa.array(bounds, pa.int64()), pa.array(out.astype(np.int32)))
+                yield pa.record_batch([keys.values.slice(first, last - first),
+                                       tokens.cast(pa.list_(pa.int32()))], names=["id", "tokens"])
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
-           text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+           text_col: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> DataFrame:
     """``(id_col, tokens array<int>)``, one row per row of ``docs``.
 
     A null or empty text has no tokens; repeated rows and null ids stay as they
@@ -181,23 +238,23 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
-    block_type = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)),
-        T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("slots", T.BinaryType()),
-        T.StructField("slot_bytes", T.IntegerType()), T.StructField("words", T.ArrayType(T.BinaryType()))])
+    part_type = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())])
     blocks = materialise(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(_cut_blocks(pattern, block_bytes), block_type), "bpe-blocks")
-    used = blocks.select("block", F.posexplode("words").alias("slot", "word"))
-    vocabulary = used.select("word").distinct().mapInArrow(
-        _encode_words(ranks), "word binary, ids array<int>")
-    codes = (used.join(vocabulary, "word").groupBy("block")
-             .agg(F.collect_list(F.struct("slot", "ids")).alias("codes")))  # one block's words
-    restored = (blocks.select("block", "ids", "counts", "slots", "slot_bytes")
-                .join(codes, "block", "left").drop("block"))
-    return restored.mapInArrow(_join_positions, T.StructType([
-        T.StructField("id", id_type), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
-    ).select(F.col("id").alias(id_col), "tokens")
+        .mapInArrow(_cut_blocks(pattern, block_bytes, buckets), T.StructType([
+            T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)),
+            T.StructField("counts", T.ArrayType(T.IntegerType())),
+            T.StructField("slots", T.BinaryType()), T.StructField("bucket_of", T.BinaryType()),
+            T.StructField("parts", T.ArrayType(part_type))])), "bpe-blocks")
+    codes = (blocks.select("block", F.explode("parts").alias("p"))
+             .select("block", "p.bucket", "p.words")
+             .repartition("bucket").sortWithinPartitions("bucket")
+             .mapInArrow(_encode_buckets(ranks), "block long, bucket int, codes binary")
+             .groupBy("block").agg(F.collect_list(F.struct("bucket", "codes")).alias("codes")))  # <= buckets
+    return (blocks.join(codes, "block", "left").select("ids", "counts", "slots", "bucket_of", "codes")
+            .mapInArrow(_join_positions, T.StructType([
+                T.StructField("id", id_type), T.StructField("tokens", T.ArrayType(T.IntegerType()))]))
+            .select(F.col("id").alias(id_col), "tokens"))
 
 
 def decode(encoded: DataFrame, ranks_path: str, tokens_col: str = "tokens",
