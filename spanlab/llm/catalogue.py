@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from spanlab.llm import bpe, langid
+from spanlab.llm import bpe, langid, simhash
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op3_language_id": langid.op3_language_id,
+    "op8_simhash": simhash.op8_simhash,
 }
 ORACLE: dict[str, str] = {}
