@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from spanlab.llm import bpe, langid, simhash
+from spanlab.llm import bpe, decontaminate, langid, simhash
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op3_language_id": langid.op3_language_id,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_simhash": simhash.op8_simhash,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_decontaminate": decontaminate.ORACLE_SQL,
+}
