@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from spanlab.llm import bpe, decontaminate, langid, simhash
+from spanlab.llm import bpe, decontaminate, langid, repeats, simhash
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_suffix_dedup": repeats.op2_suffix_dedup,
     "op3_language_id": langid.op3_language_id,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_simhash": simhash.op8_simhash,
