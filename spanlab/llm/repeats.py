@@ -290,14 +290,13 @@ def _fetch(length: int):
                 if over.any():
                     size = -2 - n[over] + 1
                     stops = np.cumsum(size)
-                    w = np.repeat(start[over] - (stops - size), size) + np.arange(stops[-1])
+                    w = np.sort(np.repeat(start[over] - (stops - size), size) + np.arange(stops[-1]))
                     hs, shs = [], []
                     for b in range(0, len(text) - length + 1, SLICE):
                         data = np.frombuffer(text[b:b + SLICE + length - 1], np.uint8)
                         own = w[(w >= b) & (w < b + SLICE)] - b
                         hs.append(Hashes(data, 0).of(own, own + length))
                         shs.append(Hashes(data, 1).of(own, own + length))
-                    w = np.sort(w)
                     h = np.concatenate([h[~over], np.concatenate(hs).view(np.int64)])
                     sh = np.concatenate([sh[~over], np.concatenate(shs).view(np.int64)])
                     start = np.concatenate([start[~over], w])
