@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from spanlab.llm import bpe, decontaminate, langid, repeats, simhash
+from spanlab.llm import bpe, decontaminate, exact, langid, lengths, repeats, simhash
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_suffix_dedup": repeats.op2_suffix_dedup,
     "op3_language_id": langid.op3_language_id,
+    "op4_token_counts": lengths.op4_token_counts,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op7_exact_dedup": exact.op7_exact_dedup,
     "op8_simhash": simhash.op8_simhash,
 }
 ORACLE: dict[str, str] = {
     "op5_decontaminate": decontaminate.ORACLE_SQL,
+    "op7_exact_dedup": exact.ORACLE_SQL,
 }

@@ -22,12 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlab.llm.common import UPPER, materialise, read
+from spanlab.llm.common import UPPER, materialise, read, small
 
 SPAN = 10
 GRAM = 5
-#: Sides of a join with at most so many (narrow) rows are broadcast.
-BROADCAST_ROWS = 500_000
 #: Bytes of text that are hashed together.
 HELD_BYTES = 4 << 20
 
@@ -165,11 +163,6 @@ def _verify(span: int):
     return run
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a written table whose row count has been checked."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """``(k1, k2, item_id, spans)`` for every document row and item that share a window.
 
@@ -188,8 +181,8 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     kept = materialise(items.mapInArrow(find, f"item_id {id_type}, span int, h long").distinct(), "winnow-items")
     prints = docs.select("k1", "k2", "text").mapInArrow(find, "k1 long, k2 long, span int, h long")
     pairs = materialise(
-        prints.join(_small(kept), ["span", "h"]).select("k1", "k2", "item_id").distinct(), "winnow-pairs")
-    texts = docs.select("k1", "k2", "text").join(_small(pairs.select("k1", "k2").distinct()),
+        prints.join(small(kept), ["span", "h"]).select("k1", "k2", "item_id").distinct(), "winnow-pairs")
+    texts = docs.select("k1", "k2", "text").join(small(pairs.select("k1", "k2").distinct()),
                                                   ["k1", "k2"], "left_semi").distinct()
     both = (pairs.join(texts, ["k1", "k2"])
             .join(items.withColumnRenamed("text", "item_text"),
@@ -220,7 +213,7 @@ def report(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM
     found = materialise(covered.join(named, ["k1", "k2"]), "winnow-found")
     return (keyed(docs).withColumn("n_words", F.coalesce(
         F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long")).drop("text")
-        .join(_small(found), ["k1", "k2"], "left")
+        .join(small(found), ["k1", "k2"], "left")
         .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                 F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
                 F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
