@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanlab.llm import bpe, decontaminate, exact, langid, lengths, repeats, simhash
+from spanlab.llm import bpe, decontaminate, exact, langid, lengths, repeats, simhash, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -12,8 +12,10 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_exact_dedup": exact.op7_exact_dedup,
     "op8_simhash": simhash.op8_simhash,
+    "op9_warc": warc.op9_warc,
 }
 ORACLE: dict[str, str] = {
     "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op7_exact_dedup": exact.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
 }
