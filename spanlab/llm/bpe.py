@@ -3,7 +3,7 @@
 1. Texts are cut into pre-tokens.  A block (a run of documents of about
    ``block_bytes``) keeps its distinct words once and, for every pre-token in
    order, the word's slot in the block: the exploded (word, position) pairs in
-   compact form.  Blocks are one written table.
+   compact form.  Blocks are one written table, bucketed by block.
 2. A block's words are dealt by hash into ``buckets`` packed rows.  All rows of a
    bucket meet in one task, which encodes each distinct word once.  A frequent
    word is one entry of each block's row, so buckets are even at any skew.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlab.llm.common import materialise, read
+from spanlab.llm.common import bucketed, read
 
 BLOCK_BYTES = 16 << 20
 BUCKETS = 256
@@ -239,13 +239,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     id_type = docs.schema[id_col].dataType
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
     part_type = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())])
-    blocks = materialise(
+    blocks = bucketed(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .mapInArrow(_cut_blocks(pattern, block_bytes, buckets), T.StructType([
             T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)),
             T.StructField("counts", T.ArrayType(T.IntegerType())),
             T.StructField("slots", T.BinaryType()), T.StructField("bucket_of", T.BinaryType()),
-            T.StructField("parts", T.ArrayType(part_type))])), "bpe-blocks")
+            T.StructField("parts", T.ArrayType(part_type))])), "bpe_blocks", "block")
     codes = (blocks.select("block", F.explode("parts").alias("p"))
              .select("block", "p.bucket", "p.words")
              .repartition("bucket").sortWithinPartitions("bucket")

@@ -30,6 +30,18 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, what: str, key: str) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``key`` in the shared warehouse and read it back.
+
+    Joins on ``key`` then leave this side where it is.
+    """
+    spark = df.sparkSession
+    name = f"spanlab_{what}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 #: A written table of at most so many narrow rows is broadcast.
 BROADCAST_ROWS = 500_000
 
