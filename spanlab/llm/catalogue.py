@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlab.llm import bpe, decontaminate, exact, langid, lengths, quality, repeats, simhash, warc
+from spanlab.llm import bpe, decontaminate, exact, fuzzy_lines, langid, lengths, quality, repeats, simhash, warc
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -37,6 +37,7 @@ QUERIES = {
     "op3_language_id": langid.op3_language_id,
     "op4_token_counts": lengths.op4_token_counts,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_line_dedup": fuzzy_lines.op6_line_dedup,
     "op7_exact_dedup": exact.op7_exact_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op9_warc": warc.op9_warc,
@@ -45,6 +46,7 @@ QUERIES = {
 QUERIES = {name: _query(fn) for name, fn in QUERIES.items()}
 ORACLE: dict[str, str] = {
     "op5_decontaminate": decontaminate.ORACLE_SQL,
+    "op6_line_dedup": fuzzy_lines.op6_line_dedup,
     "op7_exact_dedup": exact.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
 }
