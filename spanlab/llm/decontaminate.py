@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlab.llm.common import UPPER, materialise, read, small
 
@@ -31,7 +32,6 @@ HELD_BYTES = 4 << 20
 
 #: Fixed: what separates words once A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -72,6 +72,23 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(ends, first, side="right")
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key columns..., text) -> (key columns..., n_words)."""
+    for batch in batches:
+        n = []
+        for t in batch.column(batch.num_columns - 1):
+            is_word = _IS_WORD[_FOLD[np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)]]
+            n.append(int(np.count_nonzero(is_word[1:] & ~is_word[:-1])) + int(is_word[:1].sum()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())],
+                                         names=[*batch.schema.names[:-1], "n_words"])
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """The columns of ``texts`` with the last one, the text, replaced by n_words."""
+    return texts.mapInArrow(_count_words, T.StructType(
+        [*texts.schema.fields[:-1], T.StructField("n_words", T.LongType())]))
+
+
 def winnow(h: np.ndarray, of: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Kept (text, k-gram hash) pairs, distinct: the least hash of every window.
 
@@ -170,7 +187,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     the row (see :func:`keyed`).  Null, empty and wordless texts share nothing.
     """
     docs, items = keyed(docs), items.select("item_id", "text")
-    lengths = items.select(F.least(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(span)).alias("n"))
+    lengths = count_words(items.select("text")).select(F.least("n_words", F.lit(span)).alias("n"))
     spans = sorted(r.n for r in lengths.where("n > 0").distinct().collect())  # at most `span` values
     if not spans:
         return docs.limit(0).select(
@@ -211,13 +228,12 @@ def report(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM
     named = hits.groupBy("k1", "k2").agg(
         F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     found = materialise(covered.join(named, ["k1", "k2"]), "winnow-found")
-    return (keyed(docs).withColumn("n_words", F.coalesce(
-        F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long")).drop("text")
-        .join(small(found), ["k1", "k2"], "left")
-        .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-                F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-                F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-                F.col("n_hit").isNotNull().alias("contaminated")))
+    return (count_words(keyed(docs).select("doc_id", "k1", "k2", "text"))
+            .join(small(found), ["k1", "k2"], "left")
+            .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+                    F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+                    F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+                    F.col("n_hit").isNotNull().alias("contaminated")))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
