@@ -303,10 +303,10 @@ def digest(tokens: Column) -> Column:
 
 
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    """doc_id, tokens, n_tokens, ids_sha256, decoded_sha256 of every document."""
     encoded = encode(docs, ranks_path, pattern)
     return decode(encoded, ranks_path).select(
-        "doc_id", F.size("tokens").cast("long").alias("n_tokens"),
+        "doc_id", "tokens", F.size("tokens").cast("long").alias("n_tokens"),
         digest(F.col("tokens")).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
@@ -315,4 +315,4 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     return encode_digests(read(spark, sf_dir, "documents").select("doc_id", "text"),
-                          P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+                          P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).drop("tokens")

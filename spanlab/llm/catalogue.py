@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from spanlab.llm import bpe, decontaminate, exact, fuzzy_lines, langid, lengths, quality, repeats, simhash, warc
-
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def share_package(spark: SparkSession) -> None:
-    """Let the Python workers of a local session import this package from any working folder.
-
-    On a cluster the package is deployed with the application (``--py-files``).
-    """
-    sc = spark.sparkContext
-    if sc.master.startswith("local["):
-        known = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
-        if _ROOT not in known:
-            sc.environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, known)])
-
+from spanlab.llm.common import share_package
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlab.session import checkpoint_dir
@@ -14,10 +15,50 @@ from spanlab.session import checkpoint_dir
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let the Python workers of a local session import this package from any working folder.
+
+    On a cluster the package is deployed with the application (``--py-files``).
+    """
+    sc = spark.sparkContext
+    if sc.master.startswith("local["):
+        known = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if _ROOT not in known:
+            sc.environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, known)])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def row_key() -> dict[str, Column]:
+    """A 128-bit key of a document row's doc_id and text, null or not: k1 and k2."""
+    return {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit("row"), "text", "doc_id")}
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its row key under fresh names, and those names."""
+    names = [fresh(docs, k) for k in row_key()]
+    return docs.withColumns(dict(zip(names, row_key().values()))), names
+
+
+def rows_in(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose key is (``left_semi``) or is not (``left_anti``) in the table ``keys`` (k1, k2)."""
+    marked, names = with_row_key(docs)
+    return marked.join(small(keys.toDF(*names)), names, how).select(*docs.columns)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlab.llm.common import UPPER, materialise, read, small
+from spanlab.llm.common import UPPER, materialise, read, row_key, small
 
 SPAN = 10
 GRAM = 5
@@ -211,8 +211,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a 128-bit key of both: rows with one key have one result."""
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"),
-                       F.xxhash64(F.lit("row"), "text", "doc_id").alias("k2"))
+    return docs.select("doc_id", "text").withColumns(row_key())
 
 
 def report(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
