@@ -278,7 +278,11 @@ def decode(encoded: DataFrame, ranks_path: str, tokens_col: str = "tokens",
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 lists = part.column(at)
-                joined = tokens_of.take(lists.flatten())
+                ids = lists.flatten()
+                known = np.asarray(ids)
+                if len(known) and not 0 <= known.min() <= known.max() < len(tokens_of):
+                    raise ValueError("an id is not in the token-byte table")
+                joined = tokens_of.take(ids)
                 if joined.null_count:
                     raise ValueError("an id is not in the token-byte table")
                 offsets = np.frombuffer(joined.buffers()[1], np.int64)[
