@@ -14,7 +14,7 @@ from spanlab.llm import bpe
 from spanlab.llm.common import materialise, read
 
 #: Lengths of one bucket of the two-level sums.
-BUCKET = 4096
+BUCKET = 64
 
 
 def histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
@@ -35,16 +35,17 @@ def suffix_sums(hist: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """
     hist = hist.withColumn("bucket", F.floor(F.col("length") / bucket))
     sums = hist.groupBy("bucket").agg(F.sum("n_docs").alias("docs"), F.sum(F.col("length") * F.col("n_docs")).alias("tokens"))
-    # a row per 4096 lengths: bounded by the longest document
-    later = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    # a row per bucket: bounded by the longest document
+    every = Window.orderBy(F.desc("bucket"))
+    later = every.rowsBetween(Window.unboundedPreceding, -1)
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rest = sums.select("bucket", F.coalesce(F.sum("docs").over(later), F.lit(0)).alias("docs_later"),
-                       F.coalesce(F.sum("tokens").over(later), F.lit(0)).alias("tokens_later"))
-    total = sums.agg(F.sum("docs").alias("all_docs"), F.sum("tokens").alias("all_tokens"))
+                       F.coalesce(F.sum("tokens").over(later), F.lit(0)).alias("tokens_later"),
+                       F.sum("docs").over(whole).alias("all_docs"), F.sum("tokens").over(whole).alias("all_tokens"))
     inside = Window.partitionBy("bucket").orderBy(F.desc("length"))
     at_least = (hist.join(rest, "bucket")
                 .withColumn("docs_at_least", F.sum("n_docs").over(inside) + F.col("docs_later"))
-                .withColumn("tokens_at_least", F.sum(F.col("length") * F.col("n_docs")).over(inside) + F.col("tokens_later"))
-                .join(F.broadcast(total)))  # one row
+                .withColumn("tokens_at_least", F.sum(F.col("length") * F.col("n_docs")).over(inside) + F.col("tokens_later")))
     return at_least.select(
         "length", "n_docs", "docs_at_least", "tokens_at_least",
         (F.col("all_docs") - F.col("docs_at_least") + F.col("n_docs")).alias("docs_up_to"),

@@ -28,7 +28,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In,
-                                    InputPartition, WriterCommitMessage)
+                                    InputPartition, IsNotNull, WriterCommitMessage)
 from pyspark.sql.types import StructType
 
 from spanlab.llm.common import read
@@ -177,14 +177,18 @@ class WarcReader(DataSourceReader):
         self.payload = str(options.get("payload", "true")).lower() != "false"
         self.partition_bytes = int(options.get("partition_bytes", PARTITION_BYTES))
         self.allowed: dict[str, list[frozenset]] = {}
+        self.present: set[str] = set()
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in HEADERS:
+            known = isinstance(f, (EqualTo, In, IsNotNull)) and len(f.attribute) == 1 and f.attribute[0] in HEADERS
+            if not known:
+                yield f
+            elif isinstance(f, IsNotNull):
+                self.present.add(f.attribute[0])
+            else:
                 values = [f.value] if isinstance(f, EqualTo) else f.value
                 self.allowed.setdefault(f.attribute[0], []).append(frozenset(values))
-            else:
-                yield f
 
     def partitions(self) -> list[Files]:
         fs, folder = store(self.path)
@@ -212,7 +216,8 @@ class WarcReader(DataSourceReader):
         fs, folder = store(self.path)
 
         def wanted(row: dict) -> bool:
-            return all(row[c] in values for c, sets in self.allowed.items() for values in sets)
+            return (all(row[c] is not None for c in self.present)
+                    and all(row[c] in values for c, sets in self.allowed.items() for values in sets))
 
         for name in partition.paths:
             with fs.open_input_file(f"{folder}/{name}") as f:
