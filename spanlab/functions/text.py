@@ -7,14 +7,27 @@ from pyspark.sql import functions as F
 
 from spanlab import schemas
 
+# The characters that count as blank, as the inside of a regex class
+# (valid for Java and for RE2) -- ASCII white space and separators, next line, no-break
+# space, ogham space, the U+2000 spaces, line and paragraph separators, narrow no-break
+# space, mathematical space, ideographic space.
+BLANK = (r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+         r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+TRIM = rf"^[{BLANK}]+|[{BLANK}]+$"
+
 
 def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def trim_ws(c: str | Column) -> Column:
-    """Strip every leading/trailing whitespace char (not only blanks)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Strip every leading/trailing blank character (see ``BLANK``)."""
+    return F.regexp_replace(_c(c), TRIM, "")
+
+
+def is_blank(c: str | Column) -> Column:
+    """No character but blanks (stops at the first other one)."""
+    return ~_c(c).rlike(rf"[^{BLANK}]")
 
 
 def clean_label(c: str | Column) -> Column:
@@ -56,14 +69,20 @@ def span_envelope(full_span: str | Column) -> tuple[Column, Column]:
     return start, end
 
 
+SUB_SPAN = r"^(-?[0-9]+)\s+(-?[0-9]+)$"
+
+
 def span_list(full_span: str | Column) -> Column:
-    """C4: ``"s e;s e"`` -> array<struct<start:int,end:int>> (in order)."""
+    """C4: ``"s e;s e"`` -> array<struct<start:int,end:int>> (in order).
+
+    A piece that is not exactly two integers gives nulls.
+    """
     pieces = F.split(trim_ws(full_span), r"\s*;\s*")
     return F.transform(
         pieces,
         lambda p: F.struct(
-            F.try_element_at(F.split(p, r"\s+"), F.lit(1)).try_cast("int").alias("start"),
-            F.try_element_at(F.split(p, r"\s+"), F.lit(-1)).try_cast("int").alias("end"),
+            F.regexp_extract(p, SUB_SPAN, 1).try_cast("int").alias("start"),
+            F.regexp_extract(p, SUB_SPAN, 2).try_cast("int").alias("end"),
         ),
     )
 
@@ -90,12 +109,6 @@ def safe_div(num: Column, den: Column) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(num.cast("double") / den.cast("double"))
 
 
-def bio_type(tag: str | Column) -> Column:
-    """Entity type of a BIO tag ('B-x' -> 'x'); null for 'O'."""
-    t = _c(tag)
-    return F.when(t.startswith("B-") | t.startswith("I-"), F.substring(t, 3, 1 << 30))
-
-
 def html_escape(c: str | Column) -> Column:
     c = _c(c)
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")),

@@ -2,8 +2,8 @@
 span de-duplication (W13), softmax/argmax scoring (M1).
 
 Relational forms use ordered windows keyed on ``doc_id`` (gaps and islands);
-array forms (``*_array``) work on one document row with higher-order
-functions and are what the streaming path uses.
+array forms (``decode_array``) work on one document row with higher-order
+functions.
 """
 
 from __future__ import annotations
@@ -89,18 +89,6 @@ def decode_columns(tags: DataFrame, sides: dict[str, tuple[str, str | None]],
         F.round(F.avg("_x.score"), 4).alias("score"))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Keep an intermediate that several consumers of one plan read.
-
-    ``persist(MEMORY_AND_DISK)``: the optimizer does not push consumer
-    filters/projections through it (a repartition would be split into one
-    exchange per consumer), and lost blocks are recomputed from lineage, so
-    the job survives executor loss.  Use for tables read 3+ times.
-    """
-    from pyspark import StorageLevel
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def with_text(entities: DataFrame, docs: DataFrame, doc_col: str = "doc_id",
               text_col: str = "text", start: str = "start", end: str = "end",
               out: str = "text") -> DataFrame:
@@ -153,36 +141,38 @@ def align(tokens: DataFrame, spans: DataFrame, doc_col: str = "doc_id") -> DataF
 
     A token inside several spans takes the first span in row order (Q13).  The
     first token taken by a span gets ``B-``, later ones ``I-``; tokens in no
-    span get ``O``.  Output ``(doc_id, i, s, e, w, tag, span_ord)``.
+    span get ``O``.  Output ``(doc_id, i, s, e, w, tag, span_ord)`` and any further
+    columns of ``tokens``.
     """
     pairs = token_span_pairs(tokens, spans, doc_col)
     best = pairs.groupBy(doc_col, "i").agg(
         F.min_by(F.struct("span_ord", "span_label"), "span_ord").alias("_m"))
     best = best.withColumn("_so", F.col("_m.span_ord"))
-    first_tok = best.groupBy(doc_col, "_so").agg(F.min("i").alias("_first_i"))
-    best = best.join(first_tok, [doc_col, "_so"]).select(doc_col, "i", "_m", "_first_i")
+    first = F.min("i").over(Window.partitionBy(doc_col, "_so"))
+    best = best.withColumn("_first_i", first).select(doc_col, "i", "_m", "_first_i")
+    rest = [c for c in tokens.columns if c not in (doc_col, "i", "s", "e", "w", "tag", "span_ord")]
     tagged = tokens.join(best, [doc_col, "i"], "left")
     tag = F.when(F.col("_m").isNull(), F.lit("O")).otherwise(
         F.concat(F.when(F.col("i") == F.col("_first_i"), F.lit("B-")).otherwise(F.lit("I-")),
                  F.col("_m.span_label")))
     return tagged.select(doc_col, "i", "s", "e", "w", tag.alias("tag"),
-                         F.col("_m.span_ord").alias("span_ord"))
+                         F.col("_m.span_ord").alias("span_ord"), *rest)
 
 
-def window_labels(window_tokens_df: DataFrame, aligned: DataFrame, max_length: int = 512,
-                  stride: int = 256, specials: int = 0, mask: str = "none",
-                  doc_col: str = "doc_id") -> DataFrame:
-    """W4 over windows + W6: label id per (window, position).
+def window_labels(aligned: DataFrame, max_length: int = 512, stride: int = 256, specials: int = 0,
+                  mask: str = "none", doc_col: str = "doc_id") -> DataFrame:
+    """W4 over windows + W6: the aligned tokens in their windows, with a label id.
+
+    Tags travel with the tokens into the windows, so nothing is joined back.
 
     An entity is begun (``B-``) only at its first appearance in (chunk, token)
     order, so a token re-seen in the next window's overlap carries ``I-``
     (Q15).  ``mask="overlap"`` sets overlap positions to the ignore index.
     """
-    from spanlab.operators.tokens import window_geometry
+    from spanlab.operators.tokens import window_geometry, window_tokens
     content, step = window_geometry(max_length, stride, specials)
     first_chunk = F.greatest(F.lit(0), F.floor((F.col("i") - F.lit(content)) / F.lit(step)) + 1)
-    a = aligned.select(doc_col, "i", "tag")
-    wt = window_tokens_df.join(a, [doc_col, "i"], "inner")
+    wt = window_tokens(aligned, max_length, stride, specials, doc_col)
     tag = F.when(F.col("tag").startswith("B-") & (F.col("chunk") != first_chunk),
                  F.concat(F.lit("I-"), F.substring("tag", 3, 1 << 30))).otherwise(F.col("tag"))
     wt = wt.withColumn("tag", tag)
@@ -267,15 +257,3 @@ def decode_array(tokens: Column, text: Column | None = None) -> Column:
     empty = F.array().cast("array<int>")
     return F.when(n == 0, F.transform(empty, lambda j: entity(j))).otherwise(
         F.transform(starts, entity))
-
-
-def merge_windows_array(window_preds: Column) -> Column:
-    """W7 on one document: ``array<struct<chunk,j,s,e,tag,score>>`` -> per ``s``
-    the earliest window's prediction, sorted by ``s``."""
-    srt = F.array_sort(window_preds, lambda a, b: F.when(
-        a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).when(
-        a["chunk"] < b["chunk"], -1).when(a["chunk"] > b["chunk"], 1).otherwise(0))
-    keep = F.filter(srt, lambda x, k: (k == 0) | (F.get(srt, k - 1)["s"] != x["s"]))
-    return F.transform(keep, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"),
-                                                x["tag"].alias("tag"),
-                                                x["score"].alias("score")))

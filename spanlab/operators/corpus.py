@@ -62,10 +62,11 @@ def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def label_distribution(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """A1: count per label and its share of all rows (6 places)."""
+    """A1: count per label and its share of all rows (6 places), most frequent first."""
     counts = df.groupBy(label_col).agg(F.count("*").alias("count"))
     total = F.sum("count").over(Window.partitionBy())  # over <= #labels rows
-    return counts.withColumn("share", F.round(F.col("count") / total, 6))
+    return (counts.withColumn("share", F.round(F.col("count") / total, 6))
+            .orderBy(F.desc("count"), label_col))  # W10: a row per label
 
 
 def n_documents(df: DataFrame, doc_col: str = "doc_name", approx: bool = False) -> DataFrame:

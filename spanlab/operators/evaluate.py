@@ -50,24 +50,24 @@ def greedy_match(cands: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataF
     """One-to-one assignment, candidates taken by (overlap desc, gold
     order, pred order) and accepted when neither side is used yet.
 
-    Lossless split: a candidate whose gold and pred entity occur in no other
-    candidate is always accepted; only the others (few) are folded per
-    document: sorted, then ``aggregate`` with used-sets.  The fold's group is
-    one document's ambiguous candidates, bounded by the document.
+    Candidates that share an entity overlap, so they fall into clusters of overlapping
+    candidates per (keys, label): gaps and islands on the union of both spans.  No
+    choice in one cluster touches another.  One pass: a lone candidate is accepted as it
+    is, larger clusters are folded with used-sets; a fold is bounded by its cluster.
     """
     k = list(keys)
-    ng = F.count("*").over(Window.partitionBy(*k, "g_ord"))
-    np_ = F.count("*").over(Window.partitionBy(*k, "p_ord"))
-    c = cands.withColumn("_ng", ng).withColumn("_np", np_)
-    simple = c.where((F.col("_ng") == 1) & (F.col("_np") == 1)).drop("_ng", "_np")
-    amb = c.where((F.col("_ng") > 1) | (F.col("_np") > 1)).drop("_ng", "_np")
-    fields = [c_ for c_ in amb.columns if c_ not in k]
+    lo, hi = F.least("g_start", "p_start"), F.greatest("g_end", "p_end")
+    w = Window.partitionBy(*k, "label").orderBy(lo, "g_ord", "p_ord")
+    reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    c = cands.withColumn("_new", F.coalesce((lo >= reach).cast("int"), F.lit(1)))
+    c = c.withColumn("_c", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    fields = [c_ for c_ in cands.columns if c_ not in (*k, "label")]
     item = F.struct((-F.col("overlap")).alias("_neg"), F.col("g_ord").alias("_g"),
                     F.col("p_ord").alias("_p"), F.struct(*fields).alias("_row"))
-    per_doc = amb.groupBy(*k).agg(F.array_sort(F.collect_list(item)).alias("_c"))
+    clusters = c.groupBy(*k, "label", "_c").agg(F.array_sort(F.collect_list(item)).alias("_l"))
     init = F.struct(F.array().cast("array<bigint>").alias("g"),
                     F.array().cast("array<bigint>").alias("p"),
-                    F.array().cast(per_doc.schema["_c"].dataType).alias("acc"))
+                    F.array().cast(clusters.schema["_l"].dataType).alias("acc"))
 
     def step(acc, x):
         used = F.array_contains(acc["g"], x["_g"].cast("bigint")) | \
@@ -77,9 +77,9 @@ def greedy_match(cands: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataF
             F.array_append(acc["p"], x["_p"].cast("bigint")).alias("p"),
             F.array_append(acc["acc"], x).alias("acc")))
 
-    folded = per_doc.select(*k, F.explode(F.aggregate("_c", init, step)["acc"]).alias("_x"))
-    chosen = folded.select(*k, "_x._row.*")
-    return simple.unionByName(chosen.select(*simple.columns))
+    taken = F.when(F.size("_l") == 1, F.col("_l")).otherwise(F.aggregate("_l", init, step)["acc"])
+    return (clusters.select(*k, "label", F.explode(taken).alias("_x"))
+            .select(*k, "label", "_x._row.*").select(*cands.columns))
 
 
 def outcomes(gold: DataFrame, pred: DataFrame, matched: DataFrame,
@@ -89,42 +89,66 @@ def outcomes(gold: DataFrame, pred: DataFrame, matched: DataFrame,
 
     Columns: keys, type, gold_label, pred_label, gold_start, gold_end,
     pred_start, pred_end, g_ord, p_ord.
+
+    One grouping per entity instead of two anti joins: an entity's own row and the row
+    that its match contributes meet, so the matches are read once.
     """
     k = list(keys)
-    m = matched.select(
-        *k, F.when((F.col("g_start") == F.col("p_start")) & (F.col("g_end") == F.col("p_end")),
-                   F.lit("TP")).otherwise(F.lit("BOUNDARY")).alias("type"),
-        F.col("label").alias("gold_label"), F.col("label").alias("pred_label"),
-        F.col("g_start").alias("gold_start"), F.col("g_end").alias("gold_end"),
-        F.col("p_start").alias("pred_start"), F.col("p_end").alias("pred_end"), "g_ord", "p_ord")
-    fn = (gold.join(matched.select(*k, F.col("g_ord").alias("ord")), k + ["ord"], "left_anti")
-          .select(*k, F.lit("FN_PURE").alias("type"), F.col("label").alias("gold_label"),
-                  F.lit("O").alias("pred_label"), F.col("start").alias("gold_start"),
-                  F.col("end").alias("gold_end"), F.lit(None).cast("int").alias("pred_start"),
-                  F.lit(None).cast("int").alias("pred_end"), F.col("ord").alias("g_ord"),
-                  F.lit(None).cast("bigint").alias("p_ord")))
-    fp = (pred.join(matched.select(*k, F.col("p_ord").alias("ord")), k + ["ord"], "left_anti")
-          .select(*k, F.lit("FP_PURE").alias("type"), F.lit("O").alias("gold_label"),
-                  F.col("label").alias("pred_label"), F.lit(None).cast("int").alias("gold_start"),
-                  F.lit(None).cast("int").alias("gold_end"), F.col("start").alias("pred_start"),
-                  F.col("end").alias("pred_end"), F.lit(None).cast("bigint").alias("g_ord"),
-                  F.col("ord").alias("p_ord")))
-    return m.unionByName(fn).unionByName(fp)
+    pair = "struct<p_ord:bigint,p_start:int,p_end:int>"
+
+    def own(df: DataFrame, side: str) -> DataFrame:
+        return df.select(*k, F.lit(side).alias("side"), F.col("ord").cast("bigint").alias("ord"), "label",
+                         F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
+                         F.lit(False).alias("used"), F.lit(None).cast(pair).alias("pair"))
+
+    sides = F.array(
+        F.struct(F.lit("g").alias("side"), F.col("g_ord").cast("bigint").alias("ord"),
+                 F.struct(F.col("p_ord").cast("bigint").alias("p_ord"), F.col("p_start").cast("int").alias("p_start"),
+                          F.col("p_end").cast("int").alias("p_end")).alias("pair")),
+        F.struct(F.lit("p").alias("side"), F.col("p_ord").cast("bigint").alias("ord"),
+                 F.lit(None).cast(pair).alias("pair")))
+    used = (matched.select(*k, F.explode(sides).alias("_s"))
+            .select(*k, "_s.side", "_s.ord", F.lit(None).cast("string").alias("label"),
+                    F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"),
+                    F.lit(True).alias("used"), F.col("_s.pair").alias("pair")))
+    met = (own(gold, "g").unionByName(own(pred, "p")).unionByName(used)
+           .groupBy(*k, "side", "ord")
+           .agg(F.max("label").alias("label"), F.max("start").alias("start"), F.max("end").alias("end"),
+                F.max("used").alias("used"), F.max("pair").alias("pair")))
+    met = met.where((F.col("side") == "g") | ~F.col("used"))
+    is_g, hit = F.col("side") == "g", F.col("pair").isNotNull()
+    exact = (F.col("pair.p_start") == F.col("start")) & (F.col("pair.p_end") == F.col("end"))
+    return met.select(
+        *k, F.when(~is_g, F.lit("FP_PURE")).when(~hit, F.lit("FN_PURE"))
+        .when(exact, F.lit("TP")).otherwise(F.lit("BOUNDARY")).alias("type"),
+        F.when(is_g, F.col("label")).otherwise(F.lit("O")).alias("gold_label"),
+        F.when(is_g & ~hit, F.lit("O")).otherwise(F.col("label")).alias("pred_label"),
+        F.when(is_g, F.col("start")).alias("gold_start"), F.when(is_g, F.col("end")).alias("gold_end"),
+        F.when(is_g, F.col("pair.p_start")).otherwise(F.col("start")).alias("pred_start"),
+        F.when(is_g, F.col("pair.p_end")).otherwise(F.col("end")).alias("pred_end"),
+        F.when(is_g, F.col("ord")).alias("g_ord"),
+        F.when(is_g, F.col("pair.p_ord")).otherwise(F.col("ord")).alias("p_ord"))
 
 
 def strict_outcomes(gold: DataFrame, pred: DataFrame, keys: tuple[str, ...] = ("doc_id",)
                     ) -> DataFrame:
-    """M7 core: overlap join -> greedy match -> outcome per entity.
-
-    The matched pairs (at most min(|gold|, |pred|) rows) feed three consumers
-    (pairs, unmatched gold, unmatched predictions); they are materialised so
-    the join and the fold run once.
-    """
-    from spanlab.operators.bio import materialize
-    matched = materialize(greedy_match(overlap_pairs(gold, pred, keys), keys))
+    """M7 core: overlap join -> greedy match -> outcome per entity.  With
+    ``keys=("doc_id", "model")`` several prediction sets are evaluated at once."""
+    matched = greedy_match(overlap_pairs(gold, pred, keys), keys)
     return outcomes(gold, pred, matched, keys)
 
 
+def per_model(gold: DataFrame, models: list[str]) -> DataFrame:
+    """Gold entities once for every model (``model`` column)."""
+    return gold.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+
+
+def truncated(pred: DataFrame, limits: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+    """Predictions a single window would give: those that end by ``limits.last_char``
+    (the end of the last token kept); documents without a limit have none."""
+    return pred.join(limits, doc_col).where(F.col("end") <= F.col("last_char")).drop("last_char")
+
+
 def errors_with_text(out: DataFrame, docs: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     """Error rows (no TP) with gold/pred surface text."""
     e = out.where(F.col("type") != "TP")
@@ -188,12 +212,9 @@ def error_summary(out: DataFrame) -> DataFrame:
     for FP_PURE; the by-type rows have ``label = 'ALL'``.
     """
     e = out.where(F.col("type") != "TP").withColumn("label", _outcome_label())
-    e.createOrReplaceTempView("_spanlab_errors")
-    s = e.sparkSession.sql("""
-        SELECT type, CASE WHEN grouping(label) = 1 THEN 'ALL' ELSE label END AS label,
-               count(*) AS n
-        FROM _spanlab_errors GROUP BY GROUPING SETS ((type), (type, label))""")
-    return s
+    s = e.groupingSets([["type"], ["type", "label"]], "type", "label").agg(
+        F.grouping("label").alias("_all"), F.count("*").alias("n"))
+    return s.select("type", F.when(F.col("_all") == 1, F.lit("ALL")).otherwise(F.col("label")).alias("label"), "n")
 
 
 def error_rate_by_doc(out: DataFrame, gold_rows: DataFrame, docs: DataFrame,
@@ -236,63 +257,79 @@ def boundary_examples(errors: DataFrame, n: int = 5, doc_col: str = "doc_id") ->
 
 # ---- sequence (token BIO) evaluation -----------------------------------------
 
-def decode_windows(tags: DataFrame, keys: tuple[str, ...], tag_col: str = "tag") -> DataFrame:
-    """W3 per window: entities ``(keys, label, start_j, end_j)`` from tags
-    ordered by position ``j`` inside each window."""
-    from spanlab.operators.bio import start_flag
-    k = list(keys)
-    w = Window.partitionBy(*k).orderBy("j")
-    f = tags.withColumn("_flag", start_flag(F.col(tag_col), F.lag(tag_col).over(w)).cast("int"))
-    f = f.withColumn("_grp", F.sum("_flag").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return (f.where(F.col(tag_col) != "O")
-            .groupBy(*k, "_grp", F.substring(tag_col, 3, 1 << 30).alias("label"))
-            .agg(F.min("j").alias("start_j"), F.max("j").alias("end_j")).drop("_grp"))
-
-
 def seq_eval(pairs: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk"),
-             group: tuple[str, ...] = ()) -> DataFrame:
+             preds: dict[str, str] | None = None, name: str = "model") -> DataFrame:
     """Seqeval-style overall P/R/F1 and token accuracy.
 
-    ``pairs`` has one row per scored position: keys, ``j``, ``gold_tag``,
-    ``pred_tag`` (ignored positions already dropped).  Entities are decoded
-    per window on both sides and counted correct when (window, label, start,
-    end) agree.  ``group`` (e.g. ``("model",)``) evaluates several systems in
-    one pass.
+    ``pairs`` has one row per scored position: keys, ``j``, ``gold_tag`` and a column
+    of predicted tags (``pred_tag``), or one per system: ``preds`` maps a system to its
+    column and gives a row each, named in ``name``.  Ignored positions are dropped
+    before (F3).  Entities are decoded per window and counted correct when (window,
+    label, start, end) agree.
+
+    One pass over the positions: all columns are decoded in the same windows, a
+    window's own counts ride on its first position, and one grouping by
+    (window, label, start, end) tells which sides have an entity.
     """
-    out_group = list(group)
-    if not group:  # one system: a constant group key, dropped at the end
-        pairs = pairs.withColumn("_all", F.lit(1))
-        group = ("_all",)
-    g_ = list(group)
-    k = g_ + list(keys)
-    ge = decode_windows(pairs.select(*k, "j", F.col("gold_tag").alias("tag")), tuple(k))
-    pe = decode_windows(pairs.select(*k, "j", F.col("pred_tag").alias("tag")), tuple(k))
-    gc = ge.groupBy(*g_).agg(F.count("*").alias("n_gold"))
-    pc = pe.groupBy(*g_).agg(F.count("*").alias("n_pred"))
-    ok = (ge.join(pe, k + ["label", "start_j", "end_j"], "inner")
-          .groupBy(*g_).agg(F.count("*").alias("n_correct")))
-    acc = pairs.groupBy(*g_).agg(
-        F.avg((F.col("gold_tag") == F.col("pred_tag")).cast("double")).alias("_acc"),
-        F.count_distinct(*[F.col(x) for x in keys]).alias("n_chunks"))
-    j = acc.join(gc, g_, "left").join(pc, g_, "left").join(ok, g_, "left")
-    n_ok = F.coalesce("n_correct", F.lit(0))
-    p = safe_div(n_ok, F.coalesce("n_pred", F.lit(0)))
-    r = safe_div(n_ok, F.coalesce("n_gold", F.lit(0)))
+    k = list(keys)
+    systems = list((preds or {"": "pred_tag"}).items())
+    tags = {"gold": "gold_tag"} | {f"p{n}": c for n, (_, c) in enumerate(systems)}
+    w = Window.partitionBy(*k).orderBy("j")
+    whole = Window.partitionBy(*k)
+    f = pairs.select(*k, "j", *dict.fromkeys(tags.values()))
+    from spanlab.operators.bio import start_flag
+    for side, c in tags.items():
+        f = f.withColumn(f"_f_{side}", start_flag(F.col(c), F.lag(c).over(w)).cast("int"))
+    f = f.withColumn("_first", F.row_number().over(w) == 1)
+    for side in tags:
+        f = f.withColumn(f"_g_{side}", F.sum(f"_f_{side}").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    same = [F.sum((F.col("gold_tag") == F.col(c)).cast("long")).over(whole).alias(f"_same_{side}")
+            for side, c in tags.items() if side != "gold"]
+    f = f.select("*", F.count("*").over(whole).alias("_n"), *same)
+
+    def item(side, keep, label, grp, n, equal):
+        return F.when(keep, F.struct(
+            F.lit(side).alias("side"), label.alias("label"), grp.cast("long").alias("grp"),
+            n.cast("long").alias("n"), F.array(*equal).cast("array<bigint>").alias("same")))
+
+    none = F.lit(None)
+    items = [item(side, F.col(c) != "O", F.substring(c, 3, 1 << 30), F.col(f"_g_{side}"), none,
+                  [none] * len(systems)) for side, c in tags.items()]
+    items.append(item("window", F.col("_first"), F.lit(""), F.lit(0), F.col("_n"),
+                      [F.col(f"_same_{side}") for side in tags if side != "gold"]))
+    rows = f.select(*k, "j", F.explode(F.array(*items)).alias("_x")).where(F.col("_x").isNotNull())
+    entities = rows.groupBy(*k, "_x.side", "_x.grp", "_x.label").agg(
+        F.min("j").alias("start_j"), F.max("j").alias("end_j"), F.max("_x.n").alias("n"), F.max("_x.same").alias("same"))
+    agreed = entities.groupBy(*k, "label", "start_j", "end_j").agg(
+        F.max("n").alias("n"), F.max("same").alias("same"),
+        *[F.max((F.col("side") == side).cast("int")).alias(side) for side in tags])
+    totals = agreed.agg(
+        F.count("n").alias("n_chunks"), F.sum("n").alias("n"), F.sum("gold").alias("gold"),
+        *[x for n, _ in enumerate(systems) for x in (
+            F.sum(F.col("same")[n]).alias(f"same{n}"), F.sum(f"p{n}").alias(f"pred{n}"),
+            F.sum(F.col("gold") * F.col(f"p{n}")).alias(f"ok{n}"))])
+    each = totals.select("n_chunks", "n", F.coalesce("gold", F.lit(0)).alias("n_gold"), F.explode(F.array(*[
+        F.struct(F.lit(system).alias("system"), F.coalesce(f"same{n}", F.lit(0)).alias("same"),
+                 F.coalesce(f"pred{n}", F.lit(0)).alias("n_pred"), F.coalesce(f"ok{n}", F.lit(0)).alias("n_correct"))
+        for n, (system, _) in enumerate(systems)])).alias("_s"))
+    each = each.select("n_chunks", "n", "n_gold", "_s.*").where("n_chunks > 0")
+    p = safe_div(F.col("n_correct"), F.col("n_pred"))
+    r = safe_div(F.col("n_correct"), F.col("n_gold"))
     f1 = F.when((p + r) == 0, F.lit(0.0)).otherwise(F.lit(2.0) * p * r / (p + r))
-    return j.select(*out_group, F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"),
-                    F.round(f1, 6).alias("f1"), F.round("_acc", 6).alias("accuracy"),
-                    "n_chunks", F.coalesce("n_gold", F.lit(0)).alias("n_gold"),
-                    F.coalesce("n_pred", F.lit(0)).alias("n_pred"), n_ok.alias("n_correct"))
+    return each.select(*([F.col("system").alias(name)] if preds else []),
+                       F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1"),
+                       F.round(F.col("same") / F.col("n"), 6).alias("accuracy"), "n_chunks", "n_gold", "n_pred", "n_correct")
 
 
 def model_compare(results: DataFrame, models: DataFrame) -> DataFrame:
     """J13 + M6: every listed model with its scores; a model without results
-    keeps null scores (a failed run), ``optimized`` flags the variant."""
+    keeps null scores (a failed run), ``optimized`` flags the variant.  Best F1 first."""
     r = results.select("model", F.col("precision").alias("seqeval_precision"),
                        F.col("recall").alias("seqeval_recall"), F.col("f1").alias("seqeval_f1"),
                        "n_chunks")
     return (models.join(r, "model", "left")
-            .withColumn("optimized", F.lower("model").contains("optimized")))
+            .withColumn("optimized", F.lower("model").contains("optimized"))
+            .orderBy(F.desc_nulls_last("seqeval_f1"), "model"))  # W10: a row per model
 
 
 def model_gain(results: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Tokens and sliding windows.
 
-Plans here are per document.  Callers that run several per-document
+The tokenizer is row-local; windows are per document.  Callers that run several per-document
 operators should hash partition the documents on ``doc_id`` once
 (:func:`by_document`); every window/aggregate below is keyed on ``doc_id`` and
 reuses that layout instead of shuffling the (much larger) token table.
@@ -8,63 +8,98 @@ reuses that layout instead of shuffling the (much larger) token table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlab import schemas
+from spanlab.functions.text import BLANK
 
-# Whitespace-delimited pieces; tokens are the non-blank pieces.
-PIECE_PATTERN = r"(\S+|\s+)"
+#: W1 plug-in: (documents, document column) -> (doc, i, s, e, w).
+Tokenizer = Callable[[DataFrame, str], DataFrame]
+#: Input bytes of one task of a per-document plan.
+DOCUMENT_BYTES = 32 << 20
+_PIECES = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()),
+                                    T.StructField("w", T.StringType())]))
 
 
 def by_document(docs: DataFrame, doc_col: str = "doc_id",
                 num_partitions: int | None = None) -> DataFrame:
     """Hash partition documents on their key (the one shuffle of a plan).
 
-    The partition count is explicit (default: ``spark.sql.shuffle.partitions``
-    of the session) so that AQE does not coalesce it: the document shuffle is
-    small in bytes, but the token work after it is large.
+    The partition count is explicit, so that AQE does not coalesce it: the document
+    shuffle is small in bytes, but the token work after it is large.  It is the
+    session's ``spark.sql.shuffle.partitions``, or more where the estimated input
+    exceeds DOCUMENT_BYTES a partition.
     """
     if num_partitions is None:
         num_partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size < 1 << 60:  # a source without statistics says Long.MaxValue
+            num_partitions = max(num_partitions, -(-size // DOCUMENT_BYTES))
     return docs.repartition(num_partitions, doc_col)
 
 
+def _blank_table() -> np.ndarray:
+    table = np.zeros(0x3002, bool)  # the last entry stands for everything above
+    for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
+        table[c] = True
+    return table
+
+
+def pieces(texts: pa.Array) -> pa.Array:
+    """Non-blank runs of every text with code point offsets, vectorised over the batch."""
+    strings = [t or "" for t in texts.to_pylist()]
+    joined = "".join(strings)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    ends = np.cumsum([len(t) for t in strings], dtype=np.int64)
+    starts = ends - np.array([len(t) for t in strings], np.int64)
+    word = ~_blank_table()[np.minimum(points, 0x3001)]
+    opens, closes = word.copy(), word.copy()
+    opens[1:] &= ~word[:-1]
+    closes[:-1] &= ~word[1:]
+    # a run ends with its text
+    edge = ends[(ends > 0) & (ends < len(points))]
+    opens[edge] |= word[edge]
+    closes[edge - 1] |= word[edge - 1]
+    s, e = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    of = np.searchsorted(ends, s, side="right")
+    width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    byte = np.concatenate([[0], np.cumsum(np.where(word, width, 0))])
+    data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)[np.repeat(word, width)]
+    w = pa.LargeStringArray.from_buffers(
+        len(s), pa.py_buffer(np.concatenate([byte[s], byte[-1:]]).astype(np.int64).tobytes()),
+        pa.py_buffer(data.tobytes())).cast(pa.string())
+    items = pa.StructArray.from_arrays(
+        [pa.array((s - starts[of]).astype(np.int32)), pa.array((e - starts[of]).astype(np.int32)), w],
+        names=["s", "e", "w"])
+    counts = np.bincount(of, minlength=len(strings))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), items)
+
+
+_pieces = F.arrow_udf(pieces, _PIECES)
+
+
 def tokenize(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text)`` -> ``(doc_id, i, s, e, w)``.
+    """``(doc_id, text)`` -> ``(doc_id, i, s, e, w)``, one row per non-blank run.
 
-    Pieces alternate between blank and non-blank runs; a token's start is the
-    running sum of the lengths of the pieces before it (one ordered window per
-    document, no Python).  ``i`` is the 0-based token index.
+    Row-local: a vectorised Arrow function cuts whole batches of texts, and only
+    tokens are exploded.  No shuffle or sort, and rows that share a document key do
+    not mix.  ``i`` is the 0-based token index, ``s`` and ``e`` are code point offsets.
     """
-    # test the first character only: the projection runs once per piece, and
-    # a regex find over the whole text there would be quadratic per document
-    lead = F.substring(F.col(text_col), 1, 1).rlike(r"\s").cast("int")
-    pieces = docs.select(
-        F.col(doc_col),
-        lead.alias("_lead"),
-        F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(PIECE_PATTERN), 1))
-        .alias("_pos", "w"),
-    )
-    before = (Window.partitionBy(doc_col).orderBy("_pos")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    s = F.coalesce(F.sum(F.length("w")).over(before), F.lit(0)).cast("int")
-    return (
-        pieces.withColumn("s", s)
-        .where(((F.col("_pos") - F.col("_lead")) % 2) == 0)
-        .select(
-            F.col(doc_col),
-            ((F.col("_pos") - F.col("_lead")) / 2).cast("int").alias("i"),
-            F.col("s"),
-            (F.col("s") + F.length("w")).cast("int").alias("e"),
-            F.col("w"),
-        )
-    )
+    cut = docs.select(F.col(doc_col), F.posexplode(_pieces(F.col(text_col))).alias("i", "_t"))
+    return cut.select(F.col(doc_col), "i", F.col("_t.s").alias("s"), F.col("_t.e").alias("e"),
+                      F.col("_t.w").alias("w"))
 
 
 def token_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Number of tokens per document, computed row-wise (no shuffle)."""
-    n = F.size(F.regexp_extract_all(F.col(text_col), F.lit(r"(\S+)"), 1))
+    n = F.size(F.regexp_extract_all(F.col(text_col), F.lit(rf"([^{BLANK}]+)"), 1))
     return docs.select(F.col(doc_col), n.cast("int").alias("n_tokens"))
 
 
@@ -95,13 +130,14 @@ def window_tokens(tokens: DataFrame, max_length: int = 512, stride: int = 256,
 
     Output ``(doc_id, chunk, j, i, s, e, w, overlap)``: ``j`` is the position
     inside the window, ``overlap`` marks tokens already held by the previous
-    window (W6).  Each token lands in ``ceil(content/step)`` windows at most;
+    window (W6); further columns of ``tokens`` (tags) come along.  Each token lands in ``ceil(content/step)`` windows at most;
     the token count per document comes from an un-ordered window on the
     existing ``doc_id`` partitioning.
     """
     content, step = window_geometry(max_length, stride, specials)
     n = F.max("i").over(Window.partitionBy(doc_col)) + 1
     t = tokens.withColumn("_n", n).withColumn("_nc", n_chunks_expr(F.col("_n"), content, step))
+    rest = [c for c in tokens.columns if c not in (doc_col, "i", "s", "e", "w")]
     lo = F.greatest(F.lit(0), F.floor((F.col("i") - F.lit(content)) / F.lit(step)) + 1)
     hi = F.least(F.floor(F.col("i") / F.lit(step)), F.col("_nc") - 1)
     return (
@@ -111,7 +147,7 @@ def window_tokens(tokens: DataFrame, max_length: int = 512, stride: int = 256,
             (F.col("i") - F.col("chunk") * step).cast("int").alias("j"),
             "i", "s", "e", "w",
             ((F.col("chunk") > 0) & (F.col("i") < (F.col("chunk") - 1) * step + content))
-            .alias("overlap"),
+            .alias("overlap"), *rest,
         )
     )
 

@@ -34,7 +34,7 @@ def features(tokens: DataFrame, doc_col: str = "doc_id") -> DataFrame:
 
 
 def fit(aligned: DataFrame, weights: DataFrame, num_features: int = 1 << 18,
-        max_iter: int = 30, reg: float = 1e-4, seed: int = 42, doc_col: str = "doc_id"
+        max_iter: int = 30, reg: float = 1e-4, doc_col: str = "doc_id"
         ) -> PipelineModel:
     """Fit on ``aligned`` tokens ``(doc_id, i, w, tag)``; ``weights`` is the
     (label_id, label, weight) table of :func:`spanlab.operators.stats.class_weights`
@@ -48,7 +48,6 @@ def fit(aligned: DataFrame, weights: DataFrame, num_features: int = 1 << 18,
         LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
                            family="multinomial", maxIter=max_iter, regParam=reg),
     ])
-    del seed  # LBFGS is deterministic for a given partitioning
     return pipe.fit(data)
 
 

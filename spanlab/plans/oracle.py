@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 
+from spanlab.functions.text import BLANK, TRIM
+
 
 def bucket(x: str, modulo: int = 100) -> str:
     return f"((('0x' || substr(md5({x}), 1, 8))::BIGINT) % {modulo})"
@@ -42,7 +44,7 @@ def _decode(name: str, src: str, with_score: bool, extra_key: str = "") -> str:
         FROM (SELECT *, lag(tag) OVER (PARTITION BY {part} ORDER BY s) AS prev FROM {src}))),
 {name} AS (
   SELECT {part}, ord, min(s) AS start, max(e) AS "end", substr(min(tag), 3) AS label,
-         count(*) AS n_tokens{score}
+         count(*) AS n_tokens, arg_min(e, s) AS first_end, max(s) AS last_start{score}
   FROM {name}_flag WHERE tag <> 'O' GROUP BY {part}, ord)"""
 
 
@@ -50,12 +52,13 @@ def _views() -> list[tuple[str, str]]:
     from spanlab.plans.testviews import DEFAULT_MODEL, MODELS
     v: list[tuple[str, str]] = []
     v.append(("v_docs", """v_docs AS (
-  SELECT doc_id, text, length(text)::BIGINT AS n_chars, lang FROM documents)"""))
-    v.append(("v_pieces", r"""v_pieces AS (
+  SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN replace(text, '. ', '.' || chr(160)) ELSE text END AS text,
+         length(text)::BIGINT AS n_chars, lang FROM documents)"""))
+    v.append(("v_pieces", """v_pieces AS (
   SELECT doc_id, lead, unnest(p) AS w, unnest(range(0, len(p))) AS pos
-  FROM (SELECT doc_id, regexp_extract_all(text, '(\S+|\s+)', 1) AS p,
-               CASE WHEN regexp_matches(text, '^\s') THEN 1 ELSE 0 END AS lead
-        FROM documents))"""))
+  FROM (SELECT doc_id, regexp_extract_all(text, '([^@BLANK@]+|[@BLANK@]+)', 1) AS p,
+               CASE WHEN regexp_matches(text, '^[@BLANK@]') THEN 1 ELSE 0 END AS lead
+        FROM v_docs))"""))
     v.append(("v_tokens", """v_tokens AS (
   SELECT doc_id, ((pos - lead) // 2)::INTEGER AS i, s::INTEGER AS s,
          (s + length(w))::INTEGER AS e, w
@@ -85,29 +88,25 @@ def _views() -> list[tuple[str, str]]:
     v.append(("v_ann_csv", f"""v_ann_csv AS (
   SELECT 'doc_' || g.doc_id::VARCHAR || '.ann' AS doc_name,
          'T' || g.ord::VARCHAR AS id,
-         CASE WHEN g.ord % 3 = 0 THEN '  ' || g.label ELSE g.label END AS label,
+         CASE WHEN g.ord % 3 = 0 THEN ' ' || chr(160) || g.label ELSE g.label END AS label,
          '8' || lpad({bucket("g.label || '|' || g.text", 1000)}::VARCHAR, 3, '0') || '/3' AS code,
-         CASE WHEN g.ord % 4 = 0 THEN chr(9) || g.text || ' ' ELSE g.text END AS content,
+         CASE WHEN g.ord % 4 = 0 THEN chr(9) || g.text || chr(8201) || ' ' ELSE g.text END AS content,
          CASE WHEN g.ord % 5 = 0 THEN ' ' || sp || chr(9) ELSE sp END AS full_span
   FROM (SELECT g.*,
                CASE WHEN g.ord % 7 = 0 AND g.n_tokens >= 2
-                    THEN g.start::VARCHAR || ' ' || f.e::VARCHAR || ';' || l.s::VARCHAR
+                    THEN g.start::VARCHAR || ' ' || g.first_end::VARCHAR || ';' || g.last_start::VARCHAR
                          || ' ' || g."end"::VARCHAR
                     ELSE g.start::VARCHAR || ' ' || g."end"::VARCHAR END AS sp
-        FROM v_gold_text g
-        LEFT JOIN v_tokens f ON f.doc_id = g.doc_id AND f.s = g.start
-        LEFT JOIN v_tokens l ON l.doc_id = g.doc_id AND l.e = g."end") g)"""))
+        FROM v_gold_text g) g)"""))
     v.append(("v_gold_sp", f"""v_gold_sp AS (
   SELECT g.*, 'doc_' || g.doc_id::VARCHAR AS doc_name, 'T' || g.ord::VARCHAR AS tid,
          regexp_replace(g.text, '\\s+', ' ', 'g') AS tn,
          '8' || lpad({bucket("g.label || '|' || g.text", 1000)}::VARCHAR, 3, '0') || '/3' AS code,
          CASE WHEN g.ord % 7 = 0 AND g.n_tokens >= 2
-              THEN g.start::VARCHAR || ' ' || f.e::VARCHAR || ';' || l.s::VARCHAR
+              THEN g.start::VARCHAR || ' ' || g.first_end::VARCHAR || ';' || g.last_start::VARCHAR
                    || ' ' || g."end"::VARCHAR
               ELSE g.start::VARCHAR || ' ' || g."end"::VARCHAR END AS sp
-  FROM v_gold_text g
-  LEFT JOIN v_tokens f ON f.doc_id = g.doc_id AND f.s = g.start
-  LEFT JOIN v_tokens l ON l.doc_id = g.doc_id AND l.e = g."end")"""))
+  FROM v_gold_text g)"""))
     v.append(("v_ann_lines", f"""v_ann_lines AS (
   SELECT doc_name, ord * 10 AS line_no, tid || chr(9) || label || ' ' || sp || chr(9) || tn AS line
   FROM v_gold_sp
@@ -126,7 +125,13 @@ def _views() -> list[tuple[str, str]]:
   UNION ALL
   SELECT doc_name, ord * 10 + 4, tid || 'x' || chr(9) || 'broken' FROM v_gold_sp WHERE ord % 17 = 0
   UNION ALL
-  SELECT doc_name, ord * 10 + 5, '# free comment' FROM v_gold_sp WHERE ord % 19 = 0)"""))
+  SELECT doc_name, ord * 10 + 5, '# free comment' FROM v_gold_sp WHERE ord % 19 = 0
+  UNION ALL
+  SELECT doc_name, ord * 10 + 6, tid || 'y' || chr(9) || 'morphologie 12' || chr(9) || 'one number'
+  FROM v_gold_sp WHERE ord % 23 = 0
+  UNION ALL
+  SELECT doc_name, ord * 10 + 7, tid || 'z' || chr(9) || 'morphologie 0 5 9' || chr(9) || 'three numbers'
+  FROM v_gold_sp WHERE ord % 29 = 0)"""))
     v.append(("v_lexicon", """v_lexicon AS (
   SELECT p_type AS label, p_name AS content, p_brand AS code, p_partkey AS ordinal FROM part)"""))
     v.append(("v_mentions", """v_mentions AS (
@@ -138,9 +143,11 @@ def _views() -> list[tuple[str, str]]:
                   || substr(p_name, (p_partkey % length(p_name))::INTEGER + 2) AS t
         FROM part))"""))
     v.append(("v_msgs", """v_msgs AS (
-  SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)"""))
+  SELECT conv_id * 4294967296 + turn AS doc_id, text FROM conversations)"""))
     v.append(("v_logits", """v_logits AS (
-  SELECT vec_id, embedding[1:9] AS logits FROM embeddings)"""))
+  SELECT vec_id, list_transform(range(9), lambda k: list_reduce(list_transform(list_filter(
+           range(1, len(embedding) + 1), lambda i: (i - 1) % 9 = k), lambda i: embedding[i]::DOUBLE),
+           lambda a, x: a + x)) AS logits FROM embeddings)"""))
     return v
 
 
@@ -150,7 +157,9 @@ _EXTRA: list[tuple[str, str]] = []
 
 
 def register(name: str, sql: str) -> None:
-    """Register a shared CTE (used by several oracle queries)."""
+    """Register a shared CTE (used by several oracle queries).
+
+    ``@BLANK@`` and ``@TRIM@`` stand for the patterns of ``functions.text``."""
     _EXTRA.append((name, sql))
 
 
@@ -158,7 +167,14 @@ def _all() -> list[tuple[str, str]]:
     global _VIEWS
     if _VIEWS is None:
         _VIEWS = _views()
-    return _VIEWS + _EXTRA
+    return [(n, _materialised(sql)) for n, sql in _VIEWS + _EXTRA]
+
+
+def _materialised(sql: str) -> str:
+    """Every view is computed once, however many others read it."""
+    if "-- recursive" in sql:
+        return sql
+    return re.sub(r"(^|\),\n)(\w+) AS \(", r"\1\2 AS MATERIALIZED (", sql)
 
 
 def _names_in(sql: str, names: list[str]) -> set[str]:
@@ -187,6 +203,5 @@ def with_views(body: str) -> str:
                 stack.append(d)
     ctes = [sql_of[n] for n in names if n in need]
     recursive = "RECURSIVE " if any("-- recursive" in c for c in ctes) else ""
-    if not ctes:
-        return body
-    return f"WITH {recursive}" + ",\n".join(ctes) + "\n" + body
+    sql = body if not ctes else f"WITH {recursive}" + ",\n".join(ctes) + "\n" + body
+    return sql.replace("@TRIM@", TRIM).replace("@BLANK@", BLANK)

@@ -12,6 +12,7 @@ from spanlab.operators import tokens as tok
 from spanlab.plans import testviews as tv
 from spanlab.plans.catalogue import query
 from spanlab.plans.oracle import bucket, register
+from spanlab.session import keep
 from spanlab.sources import standoff
 
 # o_clean / o_split are registered by q_tokens (imported first by the catalogue)
@@ -19,10 +20,8 @@ from spanlab.plans import q_tokens  # noqa: F401
 
 
 def cleaned(spark, sf):
-    """The cleaned annotation image, materialised: split and stats plans read
-    it more than once."""
-    from spanlab.operators.bio import materialize
-    return materialize(corpus.clean(tv.ann_csv(spark, sf)))
+    """The cleaned annotation image; one consumer each, so column pruning reaches it."""
+    return corpus.clean(tv.ann_csv(spark, sf))
 
 
 @query("clean_corpus", """
@@ -34,7 +33,7 @@ def q_clean_corpus(spark, sf):
 
 @query("span_envelope", r"""
 SELECT doc_name, id, TRY_CAST(sp[1] AS INTEGER) AS span_start, TRY_CAST(sp[-1] AS INTEGER) AS span_end
-FROM (SELECT doc_name, id, string_split_regex(regexp_replace(full_span, '^\s+|\s+$', '', 'g'),
+FROM (SELECT doc_name, id, string_split_regex(regexp_replace(full_span, '@TRIM@', '', 'g'),
                                               '[; \t]+') AS sp FROM v_ann_csv)""")
 def q_span_envelope(spark, sf):
     return corpus.parse_spans(tv.ann_csv(spark, sf)).select(
@@ -43,13 +42,13 @@ def q_span_envelope(spark, sf):
 
 register("o_span_list", r"""o_span_list AS (
   SELECT doc_name, id, k::INTEGER AS k,
-         TRY_CAST(string_split_regex(piece, '\s+')[1] AS INTEGER) AS sub_start,
-         TRY_CAST(string_split_regex(piece, '\s+')[-1] AS INTEGER) AS sub_end,
+         TRY_CAST(regexp_extract(piece, '^(-?[0-9]+)\s+(-?[0-9]+)$', 1) AS INTEGER) AS sub_start,
+         TRY_CAST(regexp_extract(piece, '^(-?[0-9]+)\s+(-?[0-9]+)$', 2) AS INTEGER) AS sub_end,
          n_spans
   FROM (SELECT doc_name, id, unnest(p) AS piece, unnest(range(0, len(p))) AS k,
                len(p)::INTEGER AS n_spans
         FROM (SELECT doc_name, id,
-                     string_split_regex(regexp_replace(full_span, '^\s+|\s+$', '', 'g'),
+                     string_split_regex(regexp_replace(full_span, '@TRIM@', '', 'g'),
                                         '\s*;\s*') AS p FROM v_ann_csv)))""")
 
 
@@ -77,7 +76,8 @@ def q_span_list(spark, sf):
 register("o_t_lines", r"""o_t_lines AS (
   SELECT doc_name, line_no, p[1] AS id, split_part(p[2], ' ', 1) AS label,
          substr(p[2], instr(p[2], ' ') + 1) AS pos, p[3] AS text,
-         len(p) < 3 OR instr(coalesce(p[2], ''), ' ') = 0 AS bad
+         len(p) < 3 OR NOT coalesce(regexp_full_match(substr(p[2], instr(p[2], ' ') + 1),
+           '-?[0-9]+ -?[0-9]+(;-?[0-9]+ -?[0-9]+)*') AND instr(p[2], ' ') > 0, false) AS bad
   FROM (SELECT *, string_split(line, chr(9)) AS p FROM v_ann_lines WHERE line LIKE 'T%'))""")
 register("o_notes", r"""o_notes AS (
   SELECT doc_name, line_no, p[1] AS note_id, split_part(p[2], ' ', 2) AS ref, p[3] AS code,
@@ -149,9 +149,9 @@ def q_missing_docs(spark, sf):
     from spanlab.functions.text import doc_stem
     texts = tv.table(spark, sf, "documents").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("doc_name"))
-    ann = cleaned(spark, sf).select(doc_stem("doc_name").alias("doc_name"))
+    ann = keep(cleaned(spark, sf).select(doc_stem("doc_name").alias("doc_name")).distinct())  # read twice
     _, orphans = standoff.pair_corpus(texts, ann)
-    missing = ann.distinct().join(texts, "doc_name", "left_anti")  # V4
+    missing = ann.join(texts, "doc_name", "left_anti")  # V4
     return (orphans.withColumn("kind", F.lit("no_annotations"))
             .unionByName(missing.withColumn("kind", F.lit("no_text"))))
 
@@ -234,7 +234,7 @@ def q_reconcile(spark, sf):
 @query("long_doc_share", r"""
 SELECT count(*) AS n_docs, count(*) FILTER (WHERE n > 512) AS n_long,
        round(avg(CASE WHEN n > 512 THEN 1 ELSE 0 END), 6) AS share_long
-FROM (SELECT len(regexp_extract_all(text, '(\S+)', 1)) AS n FROM documents)""")
+FROM (SELECT len(regexp_extract_all(text, '([^@BLANK@]+)', 1)) AS n FROM documents)""")
 def q_long_doc_share(spark, sf):
     return corpus.long_doc_share(tok.token_counts(tv.table(spark, sf, "documents")), 512)
 
@@ -259,14 +259,14 @@ def q_split_exact(spark, sf):
 SELECT split, count(DISTINCT doc_name) AS n_docs, count(*) AS n_entities FROM o_split
 GROUP BY split""")
 def q_split_stats(spark, sf):
-    return splits.split_stats(splits.exact_split(cleaned(spark, sf)))
+    return splits.split_stats(splits.exact_split(keep(cleaned(spark, sf).select("doc_name", "label"))))
 
 
 @query("split_balance", "SELECT split, " + ", ".join(
     f"count(*) FILTER (WHERE label = '{lbl}') AS {lbl}" for lbl in schemas.ENTITY_TYPES)
     + " FROM o_split GROUP BY split")
 def q_split_balance(spark, sf):
-    return splits.split_balance(splits.exact_split(cleaned(spark, sf)), schemas.ENTITY_TYPES)
+    return splits.split_balance(splits.exact_split(keep(cleaned(spark, sf).select("doc_name", "label"))), schemas.ENTITY_TYPES)
 
 
 @query("split_leakage", """
@@ -280,4 +280,4 @@ FROM (SELECT doc_name, max(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS tr,
              max(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS te
       FROM o_split GROUP BY doc_name)""")
 def q_split_leakage(spark, sf):
-    return splits.split_leakage(splits.exact_split(cleaned(spark, sf)))
+    return splits.split_leakage(splits.exact_split(keep(cleaned(spark, sf).select("doc_name", "label"))))

@@ -77,8 +77,7 @@ FROM (SELECT *, {p} AS p, {r} AS r FROM {src})"""
 # ---- Spark side: one token source feeds gold and predictions ---------------------
 
 def gold_pred(spark, sf, model: str = tv.DEFAULT_MODEL):
-    """Documents, gold and predicted entities: decoded in one pass and read
-    from one reused shuffle by every consumer."""
+    """Documents, gold and predicted entities, decoded in one pass."""
     d = tv.docs(spark, sf)
     ents = tv.entities_by_side(spark, sf, [(model, dict(tv.MODELS)[model])])
     gold = ents.where(F.col("side") == "gold").drop("side", "score")
@@ -189,10 +188,91 @@ def q_confusion(spark, sf):
     return ev.confusion(strict(spark, sf)[3], spark)
 
 
+# ---- strict evaluation per model, and of what one window would have seen -------------
+
+register("o_multi_cand", """o_multi_cand AS (
+  SELECT p.model, g.doc_id, g.label, g.ord AS g_ord, p.ord AS p_ord, g.start AS g_start, g."end" AS g_end,
+         p.start AS p_start, p."end" AS p_end,
+         least(g."end", p."end") - greatest(g.start, p.start) AS overlap
+  FROM v_gold g JOIN v_preds_multi p ON p.doc_id = g.doc_id AND p.label = g.label
+   AND least(g."end", p."end") - greatest(g.start, p.start) > 0)""")
+register("o_trunc_pred", f"""o_trunc_pred AS (
+  SELECT p.* FROM v_pred p JOIN (SELECT doc_id, max(e) AS last_char FROM v_tokens
+    WHERE i < {qt.TRUNC_LEN - qt.TRUNC_SPECIALS} GROUP BY doc_id) l USING (doc_id) WHERE p."end" <= l.last_char)""")
+register("o_trunc_cand", """o_trunc_cand AS (
+  SELECT 't' AS model, g.doc_id, g.label, g.ord AS g_ord, p.ord AS p_ord, g.start AS g_start, g."end" AS g_end,
+         p.start AS p_start, p."end" AS p_end,
+         least(g."end", p."end") - greatest(g.start, p.start) AS overlap
+  FROM v_gold g JOIN o_trunc_pred p ON p.doc_id = g.doc_id AND p.label = g.label
+   AND least(g."end", p."end") - greatest(g.start, p.start) > 0)""")
+
+
+def _strict_ctes(name: str, cand: str) -> None:
+    """Ranked candidates and the greedy walk over them, per (model, document)."""
+    register(f"{name}_ranked", f"""{name}_ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY model, doc_id ORDER BY overlap DESC, g_ord, p_ord) AS rn
+  FROM {cand})""")
+    register(f"{name}_walk", f"""{name}_walk AS (  -- recursive
+  SELECT model, doc_id, 0::BIGINT AS rn, []::BIGINT[] AS g, []::BIGINT[] AS p, false AS acc
+  FROM (SELECT DISTINCT model, doc_id FROM {name}_ranked)
+  UNION ALL
+  SELECT c.model, c.doc_id, c.rn,
+         CASE WHEN list_contains(w.g, c.g_ord) OR list_contains(w.p, c.p_ord) THEN w.g
+              ELSE list_append(w.g, c.g_ord) END,
+         CASE WHEN list_contains(w.g, c.g_ord) OR list_contains(w.p, c.p_ord) THEN w.p
+              ELSE list_append(w.p, c.p_ord) END,
+         NOT (list_contains(w.g, c.g_ord) OR list_contains(w.p, c.p_ord))
+  FROM {name}_walk w JOIN {name}_ranked c ON c.model = w.model AND c.doc_id = w.doc_id AND c.rn = w.rn + 1)""")
+    register(f"{name}_matched", f"""{name}_matched AS (
+  SELECT c.* FROM {name}_ranked c JOIN {name}_walk w
+    ON w.model = c.model AND w.doc_id = c.doc_id AND w.rn = c.rn WHERE w.acc)""")
+
+
+_strict_ctes("o_multi", "o_multi_cand")
+_strict_ctes("o_trunc", "o_trunc_cand")
+
+
+def _strict_counts_sql(matched: str, gold: str, pred: str) -> str:
+    """Counts per (model, label) from totals: what is not matched is pure."""
+    return f"""(
+  SELECT t.model, t.label, coalesce(m.tp, 0) AS tp, coalesce(m.b, 0) AS boundary_errors,
+         t.n_gold - coalesce(m.tp, 0) - coalesce(m.b, 0) AS fn_pure,
+         t.n_pred - coalesce(m.tp, 0) - coalesce(m.b, 0) AS fp_pure
+  FROM (SELECT model, label, sum(g)::BIGINT AS n_gold, sum(p)::BIGINT AS n_pred FROM (
+          SELECT model, label, 1 AS g, 0 AS p FROM {gold}
+          UNION ALL SELECT model, label, 0, 1 FROM {pred}) GROUP BY model, label) t
+  LEFT JOIN (SELECT model, label, count(*) FILTER (WHERE g_start = p_start AND g_end = p_end) AS tp,
+                    count(*) FILTER (WHERE g_start <> p_start OR g_end <> p_end) AS b
+             FROM {matched} GROUP BY model, label) m ON m.model = t.model AND m.label = t.label)"""
+
+
+_MODEL_ROWS = "(VALUES " + ", ".join(f"('{m}')" for m, _ in tv.MODELS) + ") AS mm(model)"
+
+
+@query("strict_by_model", _metrics_sql(_strict_counts_sql(
+    "o_multi_matched", f"(SELECT mm.model, g.label FROM v_gold g, {_MODEL_ROWS})", "v_preds_multi"))
+    .replace("SELECT label,", "SELECT model, label,", 1))
+def q_strict_by_model(spark, sf):
+    names = [m for m, _ in tv.MODELS]
+    ents = tv.entities_by_side(spark, sf, tv.MODELS)
+    gold = ev.per_model(ents.where(F.col("side") == "gold").drop("side", "score"), names)
+    pred = ents.where(F.col("side") != "gold").withColumnRenamed("side", "model")
+    return ev.strict_metrics(ev.strict_outcomes(gold, pred, ("doc_id", "model")), ("model",))
+
+
+@query("strict_truncated", _metrics_sql(_strict_counts_sql(
+    "o_trunc_matched", "(SELECT 't' AS model, label FROM v_gold)", "(SELECT 't' AS model, label FROM o_trunc_pred)")))
+def q_strict_truncated(spark, sf):
+    _, gold, pred = gold_pred(spark, sf)
+    limits = tok.truncate(tv.tokens(spark, sf), qt.TRUNC_LEN, qt.TRUNC_SPECIALS).groupBy("doc_id").agg(
+        F.max("e").alias("last_char"))
+    return ev.strict_metrics(ev.strict_outcomes(gold, ev.truncated(pred, limits)))
+
+
 # ---- sequence evaluation over windows -------------------------------------------
 
 register("o_seq_pairs", """o_seq_pairs AS (
-  SELECT l.doc_id, l.chunk, l.j, l.tag AS gold_tag, p.tag AS pred_tag
+  SELECT l.doc_id, l.chunk, l.j, l.overlap, l.tag AS gold_tag, p.tag AS pred_tag
   FROM o_win_labels l JOIN o_win_preds p ON p.doc_id = l.doc_id AND p.chunk = l.chunk AND p.j = l.j)""")
 
 
@@ -234,21 +314,32 @@ LEFT JOIN (SELECT {('g.' + group + ', ') if group else ''}count(*) AS n FROM {ge
            {('GROUP BY g.' + group) if group else ''}) nc ON {gjoin.replace('x.', 'nc.')}"""
 
 
-def _seq_pairs(spark, sf):
-    t = bio.materialize(tv.tokens(spark, sf))
-    wt = tok.window_tokens(t, qt.MAX_LEN, qt.STRIDE, qt.SPECIALS)
-    al = bio.align(t, bio.dedupe_spans(qt.gold_spans(spark, sf)))
-    gl = bio.window_labels(wt, al, qt.MAX_LEN, qt.STRIDE, qt.SPECIALS, mask="none")
-    return gl, t, wt
+def _seq_pairs(spark, sf, models):
+    """Window positions with the gold tag and a tag column per model: all tags are made on
+    the token rows and travel with them into the windows."""
+    wide = tv.sides_of(tv.gold_tags_of(tv.tokens(spark, sf)), models).drop("tag")
+    al = bio.align(wide, bio.dedupe_spans(qt.gold_spans(spark, sf)))
+    return bio.window_labels(al, qt.MAX_LEN, qt.STRIDE, qt.SPECIALS, mask="none").withColumnRenamed("tag", "gold_tag")
+
+
+def _one_model(spark, sf):
+    m = tv.DEFAULT_MODEL
+    pairs = _seq_pairs(spark, sf, [(m, dict(tv.MODELS)[m])])
+    return pairs.withColumn("pred_tag", qt.disagree(F.col(f"tag_{m}")))
 
 
 @query("seq_eval", _seq_sql("o_seq_pairs", "doc_id, chunk", ""))
 def q_seq_eval(spark, sf):
-    gl, _, _ = _seq_pairs(spark, sf)
-    wp = qt.window_preds(spark, sf).select("doc_id", "chunk", "j", F.col("tag").alias("pred_tag"))
-    pairs = gl.select("doc_id", "chunk", "j", F.col("tag").alias("gold_tag")).join(
-        wp, ["doc_id", "chunk", "j"])
-    return ev.seq_eval(pairs)
+    return ev.seq_eval(_one_model(spark, sf))
+
+
+register("o_seq_masked", "o_seq_masked AS (SELECT * FROM o_seq_pairs WHERE NOT overlap)")
+
+
+@query("seq_eval_masked", _seq_sql("o_seq_masked", "doc_id, chunk", ""))
+def q_seq_eval_masked(spark, sf):
+    """positions that the previous window holds are ignored."""
+    return ev.seq_eval(_one_model(spark, sf).where(~F.col("overlap")))
 
 
 register("o_seq_multi", """o_seq_multi AS (
@@ -259,17 +350,8 @@ register("o_seq_models", "o_seq_models AS (" + _seq_sql("o_seq_multi", "doc_id,
 
 
 def _multi(spark, sf):
-    """Sequence evaluation of every model in one grouped pass: the models'
-    tags come from one scan of the tokens (one column pair per model)."""
-    gl, t, _ = _seq_pairs(spark, sf)
-    wide = tv.sides_of(tv.gold_tags_of(t), tv.MODELS)
-    items = [F.struct(F.lit(m).alias("model"), F.col(f"tag_{m}").alias("pred_tag"))
-             for m, _ in tv.MODELS]
-    preds = wide.select("doc_id", "i", F.explode(F.array(*items)).alias("_p")) \
-        .select("doc_id", "i", "_p.model", "_p.pred_tag")
-    pairs = gl.select("doc_id", "chunk", "j", "i", F.col("tag").alias("gold_tag")).join(
-        preds, ["doc_id", "i"])
-    return ev.seq_eval(pairs, group=("model",))
+    """Sequence evaluation of every model in one pass (one tag column per model)."""
+    return ev.seq_eval(_seq_pairs(spark, sf, tv.MODELS), preds={m: f"tag_{m}" for m, _ in tv.MODELS})
 
 
 # every model the benchmark lists; the last one has no predictions (failed run)

@@ -13,15 +13,15 @@ from spanlab.plans.oracle import register
 THRESHOLD = 0.8
 
 register("o_lex_index", r"""o_lex_index AS (
-  SELECT lower(regexp_replace(label, '^\s+|\s+$', '', 'g')) AS label_key,
-         lower(regexp_replace(content, '^\s+|\s+$', '', 'g')) AS content_key,
-         first(regexp_replace(code, '^\s+|\s+$', '', 'g')
-               ORDER BY ordinal, regexp_replace(code, '^\s+|\s+$', '', 'g')) AS code
+  SELECT lower(regexp_replace(label, '@TRIM@', '', 'g')) AS label_key,
+         lower(regexp_replace(content, '@TRIM@', '', 'g')) AS content_key,
+         first(regexp_replace(code, '@TRIM@', '', 'g')
+               ORDER BY ordinal, regexp_replace(code, '@TRIM@', '', 'g')) AS code
   FROM v_lexicon GROUP BY 1, 2)""")
 register("o_mkeys", r"""o_mkeys AS (
   SELECT mention_id, text, label,
-         lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS content_key,
-         lower(regexp_replace(regexp_replace(label, '^\s+|\s+$', '', 'g'), '^[BI]-', '')) AS label_key
+         lower(regexp_replace(text, '@TRIM@', '', 'g')) AS content_key,
+         lower(regexp_replace(regexp_replace(label, '@TRIM@', '', 'g'), '^[BI]-', '')) AS label_key
   FROM v_mentions)""")
 register("o_exact", """o_exact AS (
   SELECT m.*, x.code FROM o_mkeys m
@@ -48,9 +48,9 @@ def _index(spark, sf):
 @query("lexicon_stats", r"""
 SELECT label, count(DISTINCT code) AS n_unique_codes, count(DISTINCT content) AS n_unique_expressions,
        count(*) AS n_entries
-FROM (SELECT DISTINCT regexp_replace(label, '^\s+|\s+$', '', 'g') AS label,
-                      lower(regexp_replace(content, '^\s+|\s+$', '', 'g')) AS content,
-                      regexp_replace(code, '^\s+|\s+$', '', 'g') AS code FROM v_lexicon)
+FROM (SELECT DISTINCT regexp_replace(label, '@TRIM@', '', 'g') AS label,
+                      lower(regexp_replace(content, '@TRIM@', '', 'g')) AS content,
+                      regexp_replace(code, '@TRIM@', '', 'g') AS code FROM v_lexicon)
 GROUP BY label""")
 def q_lexicon_stats(spark, sf):
     return lx.stats(tv.lexicon(spark, sf))
@@ -61,7 +61,7 @@ SELECT m.mention_id,
        round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0
                   ELSE 1.0::DOUBLE - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))::DOUBLE
              END, 6) AS sim
-FROM (SELECT mention_id, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS a FROM v_mentions) m
+FROM (SELECT mention_id, lower(regexp_replace(text, '@TRIM@', '', 'g')) AS a FROM v_mentions) m
 JOIN (SELECT p_partkey, lower(p_name) AS b FROM part) p ON p.p_partkey = m.mention_id""")
 def q_similarity(spark, sf):
     m = tv.mentions(spark, sf)

@@ -11,6 +11,7 @@ from spanlab.operators import tokens as tok
 from spanlab.plans import testviews as tv
 from spanlab.plans.catalogue import query
 from spanlab.plans.oracle import _tag_case, bucket, register
+from spanlab.session import keep
 
 # Window geometry of the window queries: our tokenizer emits no special
 # tokens, so a 512 window holds 512 tokens and consecutive windows share 256.
@@ -46,7 +47,7 @@ def q_decode_bio(spark, sf):
 SELECT doc_id, n_tokens,
        CASE WHEN n_tokens <= {CONTENT} THEN 1
             ELSE 1 + ceil((n_tokens - {CONTENT}) / {STEP}.0)::INTEGER END AS n_chunks
-FROM (SELECT doc_id, len(regexp_extract_all(text, '(\S+)', 1))::INTEGER AS n_tokens
+FROM (SELECT doc_id, len(regexp_extract_all(text, '([^@BLANK@]+)', 1))::INTEGER AS n_tokens
       FROM documents)""")
 def q_window_counts(spark, sf):
     c = tok.token_counts(tv.table(spark, sf, "documents"))
@@ -87,19 +88,19 @@ def q_windows(spark, sf):
 def gold_spans(spark, sf):
     """Cleaned CSV annotations as spans ``(doc_id, ord, start, end, label)``."""
     c = corpus.clean(tv.ann_csv(spark, sf))
-    return bio.materialize(c.select(
+    return c.select(
         F.regexp_extract("doc_name", r"^doc_(\d+)", 1).cast("long").alias("doc_id"),
         F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("ord"),
-        F.col("span_start").alias("start"), F.col("span_end").alias("end"), "label"))
+        F.col("span_start").alias("start"), F.col("span_end").alias("end"), "label")
 
 
 register("o_clean", r"""o_clean AS (
-  SELECT regexp_replace(doc_name, '^\s+|\s+$', '', 'g') AS doc_name, id,
-         regexp_replace(label, '^\s+|\s+$', '', 'g') AS label,
-         regexp_replace(code, '^\s+|\s+$', '', 'g') AS code,
-         regexp_replace(content, '^\s+|\s+$', '', 'g') AS content,
+  SELECT regexp_replace(doc_name, '@TRIM@', '', 'g') AS doc_name, id,
+         regexp_replace(label, '@TRIM@', '', 'g') AS label,
+         regexp_replace(code, '@TRIM@', '', 'g') AS code,
+         regexp_replace(content, '@TRIM@', '', 'g') AS content,
          TRY_CAST(sp[1] AS INTEGER) AS span_start, TRY_CAST(sp[-1] AS INTEGER) AS span_end
-  FROM (SELECT *, string_split_regex(regexp_replace(full_span, '^\s+|\s+$', '', 'g'),
+  FROM (SELECT *, string_split_regex(regexp_replace(full_span, '@TRIM@', '', 'g'),
                                      '[; \t]+') AS sp FROM v_ann_csv))""")
 register("o_spans", r"""o_spans AS (
   SELECT regexp_extract(doc_name, '^doc_(\d+)', 1)::BIGINT AS doc_id,
@@ -122,8 +123,7 @@ register("o_align", """o_align AS (
 
 
 def aligned(spark, sf):
-    t = bio.materialize(tv.tokens(spark, sf))  # read by the range join and the final join
-    return bio.align(t, bio.dedupe_spans(gold_spans(spark, sf)))
+    return bio.align(tv.tokens(spark, sf), bio.dedupe_spans(gold_spans(spark, sf)))
 
 
 @query("gold_dedupe", """SELECT doc_id, start, "end", ord, label FROM o_dedupe""")
@@ -137,10 +137,7 @@ def q_align_bio(spark, sf):
 
 
 def _window_labels(spark, sf, mask):
-    t = bio.materialize(tv.tokens(spark, sf))  # read by windows and by the alignment
-    wt = tok.window_tokens(t, MAX_LEN, STRIDE, SPECIALS)
-    al = bio.align(t, bio.dedupe_spans(gold_spans(spark, sf)))
-    return bio.window_labels(wt, al, MAX_LEN, STRIDE, SPECIALS, mask=mask)
+    return bio.window_labels(aligned(spark, sf), MAX_LEN, STRIDE, SPECIALS, mask=mask)
 
 
 register("o_win_labels", f"""o_win_labels AS (
@@ -187,18 +184,21 @@ def q_window_pad(spark, sf):
 
 # ---- window predictions and their merge (W7) -------------------------------
 
-def window_preds(spark, sf):
-    """Per-window predictions: the token's m1 prediction, re-tagged in ~10% of
-    (window, token) positions so that overlapping windows disagree."""
-    t = bio.materialize(tv.tokens(spark, sf))
-    pt = tv.pred_tags_of(tv.gold_tags_of(t), "m1", 20)
-    wt = tok.window_tokens(t, MAX_LEN, STRIDE, SPECIALS).select("doc_id", "chunk", "j", "i")
-    j = wt.join(pt, ["doc_id", "i"])
+def disagree(tag):
+    """A token's m1 tag, re-tagged in ~10% of (window, token) positions so that overlapping
+    windows disagree (needs doc_id, s, chunk and w)."""
     from spanlab.functions.text import md5_bucket
     key = F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("s").cast("string"),
                    F.lit("/"), F.col("chunk").cast("string"), F.lit("w"))
     alt = tv.tag_from_bucket(md5_bucket(F.concat("w", F.lit("x"))))
-    return j.withColumn("tag", F.when(md5_bucket(key) < 10, alt).otherwise(F.col("tag")))
+    return F.when(md5_bucket(key) < 10, alt).otherwise(tag)
+
+
+def window_preds(spark, sf):
+    """Per-window predictions; tags and scores travel with the tokens into the windows."""
+    pt = tv.pred_tags_of(tv.gold_tags_of(tv.tokens(spark, sf)), "m1", 20)
+    wt = tok.window_tokens(pt, MAX_LEN, STRIDE, SPECIALS)
+    return wt.withColumn("tag", disagree(F.col("tag")))
 
 
 register("o_win_preds", f"""o_win_preds AS (
@@ -267,6 +267,36 @@ FROM {_vocab_sql()}
 LEFT JOIN o_train_counts cnt ON cnt.label = substr(vocab.label, 3)""")
 def q_class_weights(spark, sf):
     from spanlab.operators.stats import class_weights
-    c = corpus.clean(tv.ann_csv(spark, sf))
+    c = keep(corpus.clean(tv.ann_csv(spark, sf)).select("doc_name", "label"))  # documents and rows
     train = splits.exact_split(c).where(F.col("split") == "train")
     return class_weights(train, spark)
+
+
+# ---- a plugged-in model over windows (M1, W7) --------------------------------
+
+def word_model():
+    """A stand-in model: a word's label is the md5 of the word modulo 9, with a lead of 4."""
+    import hashlib
+
+    import numpy as np
+
+    def predict(batch):
+        out = []
+        for words in batch:
+            logits = np.zeros((len(words), 9))
+            for j, w in enumerate(words):
+                logits[j, int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 9] = 4.0
+            out.append(logits)
+        return out
+    return predict
+
+
+@query("score_windows", f"""
+SELECT doc_id, i, s, e, w,
+       CASE {bucket("w", 9)} {" ".join(f"WHEN {i} THEN '{lbl}'" for i, lbl in schemas.ID2LABEL.items())} END AS tag,
+       round(exp(4.0) / (exp(4.0) + 8.0), 6) AS score
+FROM v_tokens""")
+def q_score_windows(spark, sf):
+    from spanlab.operators.scoring import model_scorer
+    scored = model_scorer(word_model, MAX_LEN, STRIDE, SPECIALS)(tv.tokens(spark, sf))
+    return scored.withColumn("score", F.round("score", 6))

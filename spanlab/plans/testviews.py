@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from spanlab.functions.text import md5_bucket
 from spanlab.operators import bio, tokens as tok
+from spanlab.session import keep
 
 # ---------------------------------------------------------------------------
 # Fixed values of the test fixtures (our own choice, mirrored in oracle.py).
@@ -49,8 +50,10 @@ def tag_from_bucket(b: Column) -> Column:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """v_docs, hash partitioned on doc_id (the one shuffle of per-doc plans)."""
+    # every 7th document has no-break spaces after its full stops
+    text = F.when(F.col("doc_id") % 7 == 3, F.replace("text", F.lit(". "), F.lit(".\u00a0"))).otherwise(F.col("text"))
     d = table(spark, sf_dir, "documents").select(
-        "doc_id", "text", F.length("text").cast("long").alias("n_chars"), "lang")
+        "doc_id", text.alias("text"), F.length("text").cast("long").alias("n_chars"), "lang")
     return tok.by_document(d)
 
 
@@ -117,12 +120,12 @@ def sides_of(gold_tags: DataFrame, models: list[tuple[str, int]] | None = None)
 
 def entities_by_side(spark, sf_dir, models: list[tuple[str, int]] | None = None) -> DataFrame:
     """Decoded gold and predicted entities in one table (``side`` column),
-    decoded in one pass and materialised: read by every consumer."""
+    decoded in one pass and kept: read by every consumer."""
     models = [(DEFAULT_MODEL, dict(MODELS)[DEFAULT_MODEL])] if models is None else models
     t = sides_of(gold_tags(spark, sf_dir), models)
     sides = {"gold": ("tag", None)}
     sides.update({m: (f"tag_{m}", f"score_{m}") for m, _ in models})
-    return bio.materialize(bio.decode_columns(t, sides))
+    return keep(bio.decode_columns(t, sides))
 
 
 def gold(spark, sf_dir) -> DataFrame:
@@ -153,9 +156,9 @@ def ann_csv(spark, sf_dir) -> DataFrame:
     span = F.when((F.col("ord") % 5) == 0, F.concat(F.lit(" "), span, F.lit("\t"))).otherwise(span)
     code = F.concat(F.lit("8"), F.lpad(md5_bucket(F.concat("label", F.lit("|"), "text"), 1000)
                                        .cast("string"), 3, "0"), F.lit("/3"))
-    label = F.when((F.col("ord") % 3) == 0, F.concat(F.lit("  "), F.col("label"))).otherwise(
+    label = F.when((F.col("ord") % 3) == 0, F.concat(F.lit(" \u00a0"), F.col("label"))).otherwise(
         F.col("label"))
-    content = F.when((F.col("ord") % 4) == 0, F.concat(F.lit("\t"), F.col("text"), F.lit(" "))
+    content = F.when((F.col("ord") % 4) == 0, F.concat(F.lit("\t"), F.col("text"), F.lit("\u2009 "))
                      ).otherwise(F.col("text"))
     return g.select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".ann")).alias("doc_name"),
@@ -184,7 +187,8 @@ def ann_lines(spark, sf_dir) -> DataFrame:
     code note at ``+1`` (for 70% of entities); a second, later note at ``+2``
     for every 11th (last one wins); a dangling note at ``+3`` for every 13th;
     a malformed ``T`` line at ``+4`` for every 17th; a free ``#`` comment at
-    ``+5`` for every 19th.
+    ``+5`` for every 19th; spans of one and of three numbers at ``+6`` and ``+7`` for
+    every 23rd and 29th.
     """
     d = docs(spark, sf_dir)
     g = bio.with_text(gold(spark, sf_dir), d)
@@ -209,6 +213,8 @@ def ann_lines(spark, sf_dir) -> DataFrame:
         (ln + 4, (F.col("ord") % 17) == 0,
          F.concat(tid, F.lit("x\tbroken"))),
         (ln + 5, (F.col("ord") % 19) == 0, F.lit("# free comment")),
+        (ln + 6, (F.col("ord") % 23) == 0, F.concat(tid, F.lit("y\tmorphologie 12\tone number"))),
+        (ln + 7, (F.col("ord") % 29) == 0, F.concat(tid, F.lit("z\tmorphologie 0 5 9\tthree numbers"))),
     ]
     arr = F.filter(F.array(*[F.struct(n.cast("long").alias("line_no"), keep.alias("keep"),
                                       line.alias("line")) for n, keep, line in rows]),
@@ -242,13 +248,15 @@ def mentions(spark, sf_dir) -> DataFrame:
 
 
 def msgs(spark, sf_dir) -> DataFrame:
-    """v_msgs: a batch of texts (conversation turns) keyed by one id."""
+    """v_msgs: a batch of texts (conversation turns) keyed by one id (32 bits for the turn)."""
     c = table(spark, sf_dir, "conversations")
     return tok.by_document(c.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
+        (F.col("conv_id") * (1 << 32) + F.col("turn")).alias("doc_id"), "text"))
 
 
 def logits(spark, sf_dir) -> DataFrame:
-    """v_logits: first 9 of the 64 embedding floats as label logits."""
+    """v_logits: all embedding floats folded into 9 label logits (value k, k + 9, ... summed)."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.slice("embedding", 1, 9).alias("logits"))
+    part = lambda k: F.filter("embedding", lambda x, i: i % 9 == k)
+    return e.select("vec_id", F.array(*[
+        F.aggregate(part(k), F.lit(0.0), lambda a, x: a + x.cast("double")) for k in range(9)]).alias("logits"))

@@ -69,18 +69,6 @@ ENTITY = T.StructType(
     ]
 )
 
-# Predicted entity.
-PRED_ENTITY = T.StructType(
-    [
-        T.StructField("text", T.StringType()),
-        T.StructField("label", T.StringType()),
-        T.StructField("start", T.IntegerType()),
-        T.StructField("end", T.IntegerType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("icdo_code", T.StringType()),
-    ]
-)
-
 # Token with offsets (W1 output).
 TOKEN = T.StructType(
     [

@@ -9,7 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -29,6 +30,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    share_package(spark)
     configure(spark)
     return spark
 
@@ -59,6 +61,42 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let the Python workers of a local session import this package from any working folder.
+
+    On a cluster the package is deployed with the application (``--py-files``).
+    """
+    sc = spark.sparkContext
+    if sc.master.startswith("local["):
+        known = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if _ROOT not in known:
+            sc.environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, known)])
+
+
+_KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persist an intermediate that several consumers of one plan read.
+
+    ``MEMORY_AND_DISK``: lost blocks are recomputed from lineage.  For narrow tables
+    only (entities, matches), never for exploded tokens.  :func:`release` frees
+    them once the results are written.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(df)
+    return df
+
+
+def release() -> None:
+    """Unpersist everything that :func:`keep` holds in this process."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 

@@ -9,11 +9,32 @@ from pyspark.sql import types as T
 from spanlab import schemas
 
 
-def read_annotation_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Annotation CSV with a header; every column a string (never inferred)."""
-    return (spark.read.schema(schemas.ANNOTATION_CSV).option("header", True)
-            .option("quote", '"').option("escape", '"').option("multiLine", True)
-            .option("mode", "PERMISSIVE").csv(path))
+_BAD_LINE = "_bad_line"
+
+
+def _annotation_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    schema = T.StructType([*schemas.ANNOTATION_CSV.fields, T.StructField(_BAD_LINE, T.StringType())])
+    return (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", _BAD_LINE).csv(path))
+
+
+def read_annotation_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Annotation CSV with a header; every column a string (never inferred).
+
+    Rows with too many or too few cells are left to :func:`rejected_csv_lines`.  Line
+    breaks inside quoted cells need ``multi_line``, which makes a file one task.
+    """
+    return _annotation_csv(spark, path, multi_line).where(F.col(_BAD_LINE).isNull()).drop(_BAD_LINE)
+
+
+def rejected_csv_lines(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """V1: ``(file, line)`` of the CSV rows whose number of cells is wrong."""
+    rows = _annotation_csv(spark, path, multi_line)
+    # every column is read: a pruned scan would not notice extra cells
+    read = F.struct(*[f.name for f in schemas.ANNOTATION_CSV.fields])
+    return (rows.select(F.input_file_name().alias("file"), F.col(_BAD_LINE).alias("line"), read.alias("_r"))
+            .where(F.col("line").isNotNull() & F.col("_r").isNotNull()).drop("_r"))
 
 
 def texts_frame(spark: SparkSession, texts: list[str]) -> DataFrame:

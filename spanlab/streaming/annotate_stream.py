@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spanlab.operators import annotate as an
+from spanlab.operators import tokens as tok
+from spanlab.session import release
 
 
 def annotate_stream(stream: DataFrame, scorer: an.Scorer, link_index: DataFrame | None,
                     sink: Callable[[DataFrame, int], None], checkpoint_location: str,
                     fuzzy: bool = True, threshold: float = 0.8, doc_col: str = "doc_id",
-                    trigger: dict | None = None, query_name: str | None = None
+                    trigger: dict | None = None, query_name: str | None = None,
+                    tokenizer: tok.Tokenizer = tok.tokenize
                     ) -> StreamingQuery:
     """Start a streaming query that annotates every new document.
 
@@ -34,9 +37,17 @@ def annotate_stream(stream: DataFrame, scorer: an.Scorer, link_index: DataFrame
     if not stream.isStreaming:
         raise ValueError("annotate_stream needs a streaming DataFrame")
 
+    if link_index is not None:
+        link_index = link_index.persist()  # prepared once, read by every batch
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        out = an.annotate(batch, scorer, link_index, fuzzy, threshold, doc_col)
-        sink(out.withColumn("batch_id", F.lit(batch_id)), batch_id)
+        batch = batch.persist()  # read by the tagger and for the output
+        try:
+            out = an.annotate(batch, scorer, link_index, fuzzy, threshold, doc_col, tokenizer)
+            sink(out.withColumn("batch_id", F.lit(batch_id)), batch_id)
+        finally:
+            release()
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_location)
     if query_name:
