@@ -31,7 +31,6 @@ QUERIES = {
 QUERIES = {name: _query(fn) for name, fn in QUERIES.items()}
 ORACLE: dict[str, str] = {
     "op5_decontaminate": decontaminate.ORACLE_SQL,
-    "op6_line_dedup": fuzzy_lines.op6_line_dedup,
     "op7_exact_dedup": exact.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
 }
