@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlab.llm.common import bucketed, read
+from spanlab.llm.common import bucketed, modest_batches, read
 
 BLOCK_BYTES = 16 << 20
 BUCKETS = 256
@@ -236,6 +236,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     are; other columns of ``docs`` are not looked at.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     id_type = docs.schema[id_col].dataType
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
     part_type = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())])

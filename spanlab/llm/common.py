@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -39,6 +40,16 @@ def row_key() -> dict[str, Column]:
     return {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit("row"), "text", "doc_id")}
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts: at most so many rows and bytes at once in a task."""
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        have = spark.conf.get(key, None)
+        have = int(re.match(r"-?\d+", have)[0]) if have else 0
+        if not 0 < have <= most:
+            spark.conf.set(key, str(most))
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """A column name that ``docs`` does not have."""
     taken = {c.lower() for c in docs.columns}

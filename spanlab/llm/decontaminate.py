@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlab.llm.common import UPPER, materialise, read, row_key, small
+from spanlab.llm.common import UPPER, materialise, modest_batches, read, row_key, small
 
 SPAN = 10
 GRAM = 5
@@ -186,6 +186,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     ``docs`` has doc_id and text, ``items`` item_id and text; k1 and k2 identify
     the row (see :func:`keyed`).  Null, empty and wordless texts share nothing.
     """
+    modest_batches(docs.sparkSession)
     docs, items = keyed(docs), items.select("item_id", "text")
     lengths = count_words(items.select("text")).select(F.least("n_words", F.lit(span)).alias("n"))
     spans = sorted(r.n for r in lengths.where("n > 0").distinct().collect())  # at most `span` values

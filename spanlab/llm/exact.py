@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlab.llm.common import UPPER, groups, materialise, read, small
+from spanlab.llm.common import UPPER, groups, materialise, modest_batches, read, small
 
 #: Quotient bits that name the range a piece of a filter is merged in.
 RANGE_BITS = 12
@@ -171,6 +171,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     doc_id of equal texts stays (null only where all of them are null); rows that
     repeat that doc_id are all marked as kept.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     id_field = docs.schema["doc_id"]
     digests = materialise(docs.mapInArrow(_digests, T.StructType([

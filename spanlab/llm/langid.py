@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlab.llm.common import read
+from spanlab.llm.common import modest_batches, read
 
 SEGMENT = 96
 HIDDEN = 12
@@ -299,6 +299,7 @@ def predict(docs: DataFrame, net: Network, keep: list[str]) -> DataFrame:
     is ``und`` with score 0.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     shared = spark.sparkContext.broadcast(net)
     chosen = docs.select(*keep, "text")
     fields = [f for f in chosen.schema.fields[:-1]]

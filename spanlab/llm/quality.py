@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlab.llm.common import read
+from spanlab.llm.common import modest_batches, read
 
 FEATURES = 4096
 #: After the trigrams: words, words equal to the one before, bytes, and bytes of three kinds.
@@ -138,6 +138,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     A text under three bytes, and a null one, gets the share of label 1 in the sample.
     """
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

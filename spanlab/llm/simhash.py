@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlab.llm.common import components, groups, materialise, read
+from spanlab.llm.common import components, groups, materialise, modest_batches, read
 
 #: Contract of the query and of the pipeline's stage.
 SHINGLE = 3
@@ -64,6 +64,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text, and ``fp`` (the 64 bits as a long)."""
+    modest_batches(docs.sparkSession)
     rest = [f for f in docs.schema.fields if f.name != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
