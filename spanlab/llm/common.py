@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanlab.session import checkpoint_dir
@@ -50,6 +50,24 @@ def modest_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def few_by_hash(rows: DataFrame, group: str, h: str, per_group: int, most_groups: int) -> DataFrame:
+    """At most ``per_group`` rows of each of the ``most_groups`` largest groups: those with the
+    smallest hashes ``h`` (a long).
+
+    Group sizes set a hash limit that lets through about four times as many rows as
+    asked for, so that what is ranked per group does not grow with the input.
+    """
+    sizes = (rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
+             .orderBy(F.desc("n"), group).limit(most_groups).collect())
+    if not sizes:
+        return rows.limit(0)
+    limits = F.create_map(*[F.lit(x) for r in sizes for x in (
+        r[0], -(1 << 63) + min((1 << 64) - 1, (4 * per_group << 64) // r[1]))])
+    near = rows.where(F.col(h) <= limits[F.col(group)])
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(h, *[c for c in rows.columns if c not in (group, h)]))
+    return near.withColumn("__rank", rank).where(F.col("__rank") <= per_group).drop("__rank")
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """A column name that ``docs`` does not have."""
     taken = {c.lower() for c in docs.columns}
@@ -95,7 +113,7 @@ def bucketed(df: DataFrame, what: str, key: str) -> DataFrame:
 
 
 #: A written table of at most so many narrow rows is broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def small(df: DataFrame) -> DataFrame:

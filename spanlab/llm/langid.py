@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlab.llm.common import modest_batches, read
+from spanlab.llm.common import few_by_hash, modest_batches, read
 
 SEGMENT = 96
 HIDDEN = 12
@@ -254,15 +254,12 @@ def sample(docs: DataFrame, lang: Column, learn: Column, per_language: int = SAM
     ``per_language`` documents of each language, by hash of the text, so the
     same corpus gives the same sample in any order of rows.
     """
-    from pyspark.sql import Window
-
     text = F.col("text")
     room = F.greatest(F.length(text) - SNIPPET, F.lit(0)) + 1
-    rows = (docs.where(learn & lang.isNotNull() & (F.trim(text) != ""))
-            .select(lang.alias("l"), F.xxhash64("text", F.lit("sample")).alias("h"),
-                    F.substring(text, F.pmod(F.xxhash64("text"), room).cast("int") + 1, F.lit(SNIPPET)).alias("s"))
-            .withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "s")))
-            .where(F.col("n") <= per_language).select("l", "h", "s"))
+    known = docs.where(learn & lang.isNotNull() & (F.trim(text) != ""))
+    hashed = known.select(lang.alias("l"), F.xxhash64("text", F.lit("sample")).alias("h"),
+                          F.substring(text, F.pmod(F.xxhash64("text"), room).cast("int") + 1, F.lit(SNIPPET)).alias("s"))
+    rows = few_by_hash(hashed, "l", "h", per_language, MAX_LANGUAGES)
     found = rows.orderBy("l", "h", "s").limit(per_language * MAX_LANGUAGES).collect()
     return [(r.s.encode(), r.l) for r in found]
 

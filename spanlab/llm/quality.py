@@ -16,11 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlab.llm.common import modest_batches, read
+from spanlab.llm.common import few_by_hash, modest_batches, read
 
 FEATURES = 4096
 #: After the trigrams: words, words equal to the one before, bytes, and bytes of three kinds.
@@ -123,9 +123,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = SAMPLE_PER_LABEL):
     """Counts and labels of at most ``per_label`` texts of each label, chosen by hash of the id."""
-    chosen = (labels.where(learn & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
-              .withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")))
-              .where(F.col("n") <= per_label).select("doc_id", "label"))
+    known = (labels.where(learn & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+             .groupBy("doc_id").agg(F.max("label").alias("label")))
+    chosen = few_by_hash(known.withColumn("h", F.xxhash64("doc_id")), "label", "h", per_label, 2).select("doc_id", "label")
     rows = (docs.join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int"), "text")
             .mapInArrow(_features, "label int, raw binary").limit(4 * per_label).toPandas())
     rows = rows.sort_values(["label", "raw"])
