@@ -16,6 +16,7 @@ def _annotation_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFra
     schema = T.StructType([*schemas.ANNOTATION_CSV.fields, T.StructField(_BAD_LINE, T.StringType())])
     return (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
             .option("multiLine", multi_line).option("mode", "PERMISSIVE")
+            .option("columnPruning", False)  # a pruned parser would not notice extra cells
             .option("columnNameOfCorruptRecord", _BAD_LINE).csv(path))
 
 
@@ -31,14 +32,16 @@ def read_annotation_csv(spark: SparkSession, path: str, multi_line: bool = False
 def rejected_csv_lines(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """V1: ``(file, line)`` of the CSV rows whose number of cells is wrong."""
     rows = _annotation_csv(spark, path, multi_line)
-    # every column is read: a pruned scan would not notice extra cells
-    read = F.struct(*[f.name for f in schemas.ANNOTATION_CSV.fields])
-    return (rows.select(F.input_file_name().alias("file"), F.col(_BAD_LINE).alias("line"), read.alias("_r"))
-            .where(F.col("line").isNotNull() & F.col("_r").isNotNull()).drop("_r"))
+    # every column is named: Spark refuses a query that names the corrupt column alone
+    read = F.length(F.concat_ws("", *[f.name for f in schemas.ANNOTATION_CSV.fields])) >= 0
+    return (rows.where(F.col(_BAD_LINE).isNotNull() & read)
+            .select(F.input_file_name().alias("file"), F.col(_BAD_LINE).alias("line")))
 
 
 def texts_frame(spark: SparkSession, texts: list[str]) -> DataFrame:
     """An in-memory batch of texts keyed by input position (small API input)."""
+    if not texts:
+        raise ValueError("an empty list of texts")
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
 
 

@@ -59,6 +59,22 @@ def test_tokenize_offsets(spark):
     assert [(r.i, r.s, r.e) for r in t if r.doc_id == 3] == [(0, 0, 1)]
 
 
+def test_tokenize_unicode_blanks_and_shared_keys(spark):
+    texts = ["aa bb", "cccc dd", "\u00a0x\u2003y\u3000\U0001f642z ", None, "\x85", "e\u0301 q"]
+    d = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string").coalesce(1)
+    got = [(r.i, r.s, r.e, r.w) for r in tok.tokenize(d).collect()]
+    assert got == [(0, 0, 2, "aa"), (1, 3, 5, "bb"), (0, 0, 4, "cccc"), (1, 5, 7, "dd"), (0, 1, 2, "x"), (1, 3, 4, "y"),
+                   (2, 5, 7, "\U0001f642z"), (0, 0, 2, "e\u0301"), (1, 3, 4, "q")]
+    counts = {r.n_tokens for r in tok.token_counts(d.where("text = '\u00a0x\u2003y\u3000\U0001f642z '")).collect()}
+    assert counts == {3}
+
+
+def test_tokenize_has_no_shuffle(spark):
+    d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = tok.tokenize(d)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
 def test_windows_cover_every_token(spark):
     rows = [(1, k, k * 2, k * 2 + 1, f"w{k}") for k in range(1100)]
     t = spark.createDataFrame(rows, "doc_id long, i int, s int, e int, w string")

@@ -106,7 +106,8 @@ def test_parquet_round_trip_partitioned(spark, tmp_dir):
     assert back.count() == 6
     train = tables.read_split(spark, path, "train")
     plan = train._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan or "partition" in plan.lower()
+    filters = plan.split("PartitionFilters: [")[1]
+    assert filters.startswith("isnotnull(split") and "= train" in filters.split("]")[0]
     assert train.count() == df.where("split = 'train'").count()
 
 
@@ -124,6 +125,38 @@ def test_read_annotation_csv(spark, tmp_dir):
     assert (c[1].span_start, c[1].span_end) == (0, 31)
 
 
+def test_csv_rows_with_wrong_cells_are_rejected(spark, tmp_dir):
+    path = f"{tmp_dir}/bad.csv"
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("doc_name,id,label,code,content,full_span\n")
+        f.write("d.ann,T1,morphologie,8000/3,x,0 1\nd.ann,T2,morphologie,8000/3,x,0 1,extra\nd.ann,T3,short\n")
+    assert [r.id for r in tables.read_annotation_csv(spark, path).collect()] == ["T1"]
+    assert [r.doc_name for r in tables.read_annotation_csv(spark, path).select("doc_name").collect()] == ["d.ann"]
+    rejected = tables.rejected_csv_lines(spark, path)
+    assert sorted(r.line.split(",")[1] for r in rejected.collect()) == ["T2", "T3"]
+    assert rejected.select("line").count() == 2
+
+
+def test_csv_line_breaks_in_cells(spark, tmp_dir):
+    path = f"{tmp_dir}/multi.csv"
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('doc_name,id,label,code,content,full_span\nd.ann,T1,morphologie,c,"two\nlines",0 1\n')
+    assert [r.content for r in tables.read_annotation_csv(spark, path, multi_line=True).collect()] == ["two\nlines"]
+
+
+def test_hash_split_honours_uneven_ratios(spark):
+    df = spark.range(20000).select(F.concat(F.lit("d"), F.col("id")).alias("doc_name"))
+    for train, val in ((0.805, 0.1), (0.57, 0.335)):
+        n = {r.split: r["count"] for r in splits.hash_split(df, train_ratio=train, val_ratio=val, method="md5")
+             .groupBy("split").count().collect()}
+        assert abs(n["train"] / 20000 - train) < 0.01 and abs(n["val"] / 20000 - val) < 0.01
+    at = lambda r: {x.doc_name for x in splits.hash_split(df, train_ratio=r, val_ratio=0.1).where(
+        "split = 'train'").collect()}
+    assert at(0.57) > at(0.56)
+    nulls = spark.createDataFrame([(None,), ("d",)], "doc_name string")
+    assert [r.split is None for r in splits.hash_split(nulls).orderBy("doc_name").collect()] == [True, False]
+
+
 def test_csv_and_json_sinks(spark, tmp_dir):
     df = corpus.parse_spans(frame(spark))
     tables.write_csv(df, f"{tmp_dir}/csv")

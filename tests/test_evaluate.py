@@ -57,40 +57,47 @@ def test_length_categories_and_no_errors(spark):
     assert {r.category for r in cats} == {"court (<3000)", "moyen (3000-8000)", "long (>8000)"}
 
 
-def greedy_reference(gold, pred):
-    cands = []
-    for g in gold:
-        for p in pred:
-            ov = min(g[3], p[3]) - max(g[2], p[2])
-            if ov > 0 and g[4] == p[4] and g[0] == p[0]:
-                cands.append((-ov, g[0], g[1], p[1]))
-    cands.sort(key=lambda c: (c[1], c[0], c[2], c[3]))
-    used_g, used_p, out = set(), set(), set()
-    for _, d, go, po in cands:
-        if (d, go) in used_g or (d, po) in used_p:
-            continue
-        used_g.add((d, go)); used_p.add((d, po)); out.add((d, go, po))
-    return out
-
-
-def test_greedy_matches_sequential_reference(spark):
+def test_greedy_properties(spark):
+    """One-to-one, and no candidate left that should have gone before those that took its sides."""
     rnd = random.Random(11)
     gold, pred = [], []
     for d in range(8):
         for k in range(25):
-            s = rnd.randint(0, 300); gold.append((d, k, s, s + rnd.randint(1, 30), rnd.choice("ab")))
+            s = rnd.randint(0, 300)
+            gold.append((d, k, s, s + rnd.randint(1, 30), rnd.choice("ab")))
         for k in range(25):
-            s = rnd.randint(0, 300); pred.append((d, k, s, s + rnd.randint(1, 30), rnd.choice("ab")))
+            s = rnd.randint(0, 300)
+            pred.append((d, k, s, s + rnd.randint(1, 30), rnd.choice("ab")))
     g = spark.createDataFrame(gold, SCHEMA)
     p = spark.createDataFrame(pred, SCHEMA)
+    cands = {(r.doc_id, r.g_ord, r.p_ord): (-r.overlap, r.g_ord, r.p_ord) for r in ev.overlap_pairs(g, p).collect()}
     got = {(r.doc_id, r.g_ord, r.p_ord) for r in ev.greedy_match(ev.overlap_pairs(g, p)).collect()}
-    assert got == greedy_reference(gold, pred)
+    assert got <= set(cands)
+    by_g, by_p = {(d, a): cands[d, a, b] for d, a, b in got}, {(d, b): cands[d, a, b] for d, a, b in got}
+    assert len(by_g) == len(by_p) == len(got)
+    for (d, a, b), order in cands.items():
+        if (d, a, b) not in got:
+            assert min(by_g.get((d, a), (1,)), by_p.get((d, b), (1,))) < order
     out = ev.strict_outcomes(g, p)
     c = ev.error_counts(out).collect()
     assert sum(r.tp + r.boundary_errors + r.fn_pure for r in c) == len(gold)  # invariant
     assert sum(r.tp + r.boundary_errors + r.fp_pure for r in c) == len(pred)
 
 
+def test_strict_by_model_and_truncated(spark):
+    gold = [(1, 1, 0, 10, "morphologie"), (1, 2, 20, 30, "morphologie")]
+    models = {"a": [(1, 1, 0, 10, "morphologie"), (1, 2, 20, 30, "morphologie")], "b": [(1, 1, 2, 10, "morphologie")]}
+    g = ev.per_model(spark.createDataFrame(gold, SCHEMA), list(models))
+    p = spark.createDataFrame([(*r, m) for m, rows in models.items() for r in rows], SCHEMA + ", model string")
+    got = {r.model: (r.tp, r.boundary_errors, r.fn_pure) for r in ev.strict_metrics(
+        ev.strict_outcomes(g, p, ("doc_id", "model")), ("model",)).collect()}
+    assert got == {"a": (2, 0, 0), "b": (0, 1, 1)}
+    limits = spark.createDataFrame([(1, 15)], "doc_id long, last_char int")
+    cut = ev.truncated(spark.createDataFrame(models["a"], SCHEMA), limits)
+    out = ev.strict_outcomes(spark.createDataFrame(gold, SCHEMA), cut)
+    assert counts(out)["morphologie"] == (1, 0, 1, 0)
+
+
 def test_confusion_and_summary(spark):
     gold = [(1, 1, 0, 10, "morphologie"), (1, 2, 20, 30, "topographie")]
     pred = [(1, 1, 0, 8, "morphologie"), (1, 2, 40, 50, "differenciation")]
@@ -111,3 +118,15 @@ def test_seq_eval(spark):
     r = ev.seq_eval(pairs).first()
     assert (r.n_gold, r.n_pred, r.n_correct) == (2, 2, 1)
     assert (r.precision, r.recall, r.f1, r.accuracy) == (0.5, 0.5, 0.5, 0.5)
+
+
+def test_seq_eval_systems_and_masks(spark):
+    rows = [(1, 0, 0, "B-morphologie", "B-morphologie", "O", False), (1, 0, 1, "I-morphologie", "I-morphologie", "O", False),
+            (1, 1, 0, "I-morphologie", "I-morphologie", "O", True), (1, 1, 1, "O", "O", "O", False)]
+    pairs = spark.createDataFrame(rows, "doc_id long, chunk int, j int, gold_tag string, a string, b string, overlap boolean")
+    got = {r.model: r for r in ev.seq_eval(pairs, preds={"m1": "a", "m2": "b"}).collect()}
+    assert (got["m1"].f1, got["m1"].n_gold, got["m1"].n_chunks) == (1.0, 2, 2)
+    assert (got["m2"].f1, got["m2"].n_pred, got["m2"].accuracy) == (0.0, 0, 0.25)
+    masked = ev.seq_eval(pairs.where("not overlap"), preds={"m1": "a"}).first()
+    assert (masked.n_gold, masked.n_correct, masked.n_chunks) == (1, 1, 2)
+    assert ev.seq_eval(pairs.limit(0), preds={"m1": "a"}).collect() == []

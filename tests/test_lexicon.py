@@ -140,3 +140,18 @@ def test_passjoin_equals_length_band(spark, t):
     a = {(r.content_key, r.lex_key) for r in lx.fuzzy_candidates(m, idx, t, "passjoin").collect()}
     b = {(r.content_key, r.lex_key) for r in lx.fuzzy_candidates(m, idx, t, "length").collect()}
     assert a == b and len(b) > 0
+
+
+def test_probe_rows_of_long_mentions(spark):
+    k = spark.createDataFrame([("l", "x" * n, n) for n in (10, 40, 80)], "label_key string, m_key string, m_len int")
+    n = {r.m_len: r["count"] for r in lx.mention_probes(k, 0.8).groupBy("m_len").count().collect()}
+    assert n[80] <= 21_973 / 5 and n[40] <= 3_074 / 3
+
+
+def test_threshold_zero_needs_some_similarity(spark, idx):
+    r = link_one(spark, idx, "s", "topographie", t=0.0)
+    assert (r.code, r.match) == ("C50.9", "fuzzy")
+    assert link_one(spark, idx, "0000", "topographie", t=0.0).code is None
+    assert "BroadcastNestedLoopJoin" not in lx.fuzzy_candidates(lx.mention_keys(
+        spark.createDataFrame([("s", "topographie")], "text string, label string")), idx, 0.0
+    )._jdf.queryExecution().executedPlan().toString()
