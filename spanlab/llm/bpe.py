@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from spanlab.llm.common import bucketed, modest_batches, read
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BUCKETS = 256
 #: A rank file of more bytes than this is refused: it is broadcast to every task.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -128,6 +128,7 @@ def _cut_blocks(pattern: str, block_bytes: int, buckets: int):
         def flush() -> pa.RecordBatch:
             nonlocal n_blocks, held, ids, counts, slots, words
             flat = np.concatenate(slots)
+            slots = []
             # frequent words get small slots: their high bytes pack to nothing
             order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
             rank = np.empty(len(order), np.uint32)
@@ -159,7 +160,7 @@ def _cut_blocks(pattern: str, block_bytes: int, buckets: int):
                 slot = words.setdefault
                 ids.append(keys[i].as_py())
                 counts.append(len(found))
-                slots.append(np.fromiter([slot(w, len(words)) for w in found], np.int64, len(found)))
+                slots.append(np.fromiter((slot(w, len(words)) for w in found), np.uint32, len(found)))
                 held += len(text)
                 if held >= block_bytes:
                     yield flush()
