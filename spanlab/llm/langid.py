@@ -31,8 +31,8 @@ MAX_LANGUAGES = 512
 STEPS = 260
 BATCH = 256
 #: Segments scored together, and bytes of text held together.
-WIDTH = 2048
-HELD_BYTES = 4 << 20
+WIDTH = 1024
+HELD_BYTES = 1 << 20
 UNDETERMINED = "und"
 
 
