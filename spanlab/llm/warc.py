@@ -321,6 +321,11 @@ def write(record_rows: DataFrame, path: str) -> None:
 
 
 def scan(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """Records of the archives in a folder.
+
+    Spark keeps pushed predicates with the loaded relation, so one scan is for one set of
+    predicates: call this again instead of filtering a scan in two ways within a plan.
+    """
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
@@ -330,10 +335,14 @@ def round_trip(pages: DataFrame, path: str) -> DataFrame:
     spark = pages.sparkSession
     id_type = pages.schema["page_id"].dataType.simpleString()
     write(to_records(pages), path)
-    responses = scan(spark, path).where("record_type = 'response'").select(
-        "record_id", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+
+    def read_responses() -> DataFrame:
+        return scan(spark, path).where("record_type = 'response'").select(
+            "record_id", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+
+    responses = read_responses()
     revisits = scan(spark, path, payload=False).where("record_type = 'revisit'").select("record_id", "refers_to")
-    originals = responses.dropDuplicates(["record_id"]).withColumnRenamed("record_id", "original")
+    originals = read_responses().dropDuplicates(["record_id"]).withColumnRenamed("record_id", "original")
     resolved = revisits.join(originals, F.col("refers_to") == F.col("original")).drop("original")
     return (responses.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"))
             .unionByName(resolved.withColumn("record_type", F.lit("revisit")))
