@@ -229,13 +229,9 @@ def _join_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                                        tokens.cast(pa.list_(pa.int32()))], names=["id", "tokens"])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
-           text_col: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> DataFrame:
-    """``(id_col, tokens array<int>)``, one row per row of ``docs``.
-
-    A null or empty text has no tokens; repeated rows and null ids stay as they
-    are; other columns of ``docs`` are not looked at.
-    """
+def _coded_blocks(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str,
+                  block_bytes: int, buckets: int) -> DataFrame:
+    """Blocks with the ids of their words: the input of :func:`_join_positions`."""
     spark = docs.sparkSession
     modest_batches(spark)
     id_type = docs.schema[id_col].dataType
@@ -253,10 +249,23 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
              .repartition("bucket").sortWithinPartitions("bucket")
              .mapInArrow(_encode_buckets(ranks), "block long, bucket int, codes binary")
              .groupBy("block").agg(F.collect_list(F.struct("bucket", "codes")).alias("codes")))  # <= buckets
-    return (blocks.join(codes, "block", "left").select("ids", "counts", "slots", "bucket_of", "codes")
-            .mapInArrow(_join_positions, T.StructType([
-                T.StructField("id", id_type), T.StructField("tokens", T.ArrayType(T.IntegerType()))]))
-            .select(F.col("id").alias(id_col), "tokens"))
+    return blocks.join(codes, "block", "left").select("ids", "counts", "slots", "bucket_of", "codes")
+
+
+def _token_fields(docs: DataFrame, id_col: str) -> list[T.StructField]:
+    return [T.StructField("id", docs.schema[id_col].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType()))]
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
+           text_col: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> DataFrame:
+    """``(id_col, tokens array<int>)``, one row per row of ``docs``.
+
+    A null or empty text has no tokens; repeated rows and null ids stay as they
+    are; other columns of ``docs`` are not looked at.
+    """
+    coded = _coded_blocks(docs, ranks_path, pattern, id_col, text_col, block_bytes, buckets)
+    return coded.mapInArrow(_join_positions, T.StructType(_token_fields(docs, id_col))).select(
+        F.col("id").alias(id_col), "tokens")
 
 
 def decode(encoded: DataFrame, ranks_path: str, tokens_col: str = "tokens",
@@ -266,8 +275,13 @@ def decode(encoded: DataFrame, ranks_path: str, tokens_col: str = "tokens",
     The token-byte table is bounded by the vocabulary file and broadcast.  A
     null list decodes to null, an id outside the table raises.
     """
+    run = _decoder(encoded.sparkSession, ranks_path, tokens_col, out_col)
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields,
+                                                 T.StructField(out_col, T.BinaryType())]))
+
+
+def _decoder(spark: SparkSession, ranks_path: str, tokens_col: str, out_col: str):
     ranks = load_ranks(ranks_path)
-    spark = encoded.sparkSession
     table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         table[i] = token
@@ -299,8 +313,7 @@ def decode(encoded: DataFrame, ranks_path: str, tokens_col: str = "tokens",
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, out_col])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields,
-                                                 T.StructField(out_col, T.BinaryType())]))
+    return run
 
 
 def digest(tokens: Column) -> Column:
@@ -310,8 +323,15 @@ def digest(tokens: Column) -> Column:
 
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, tokens, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    encoded = encode(docs, ranks_path, pattern)
-    return decode(encoded, ranks_path).select(
+    decoded = _decoder(docs.sparkSession, ranks_path, "tokens", "decoded")
+
+    def restore_and_decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return decoded(_join_positions(batches))  # in one worker: two would double its memory
+
+    coded = _coded_blocks(docs, ranks_path, pattern, "doc_id", "text", BLOCK_BYTES, BUCKETS)
+    return coded.mapInArrow(restore_and_decode, T.StructType([
+        *_token_fields(docs, "doc_id"), T.StructField("decoded", T.BinaryType())])
+    ).withColumnRenamed("id", "doc_id").select(
         "doc_id", "tokens", F.size("tokens").cast("long").alias("n_tokens"),
         digest(F.col("tokens")).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
