@@ -52,7 +52,8 @@ def modest_batches(spark: SparkSession) -> None:
 
 def few_by_hash(rows: DataFrame, group: str, h: str, per_group: int, most_groups: int) -> DataFrame:
     """At most ``per_group`` rows of each of the ``most_groups`` largest groups: those with the
-    smallest hashes ``h`` (a long).
+    smallest hashes ``h`` (a long).  A group's hashes are to be different: rows with one hash
+    pass or fail together.
 
     Group sizes set a hash limit that lets through about four times as many rows as
     asked for, so that what is ranked per group does not grow with the input.

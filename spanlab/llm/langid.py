@@ -251,15 +251,17 @@ def train(snippets: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int =
 def sample(docs: DataFrame, lang: Column, learn: Column, per_language: int = SAMPLE_PER_LANGUAGE):
     """The bounded training sample: [(utf-8 snippet, language)].
 
-    ``per_language`` documents of each language, by hash of the text, so the
-    same corpus gives the same sample in any order of rows.
+    ``per_language`` different texts of each language, by hash of the text, so the
+    same corpus gives the same sample in any order of rows.  Copies of a text count once.
     """
     text = F.col("text")
     room = F.greatest(F.length(text) - SNIPPET, F.lit(0)) + 1
     known = docs.where(learn & lang.isNotNull() & (F.trim(text) != ""))
     hashed = known.select(lang.alias("l"), F.xxhash64("text", F.lit("sample")).alias("h"),
                           F.substring(text, F.pmod(F.xxhash64("text"), room).cast("int") + 1, F.lit(SNIPPET)).alias("s"))
-    rows = few_by_hash(hashed, "l", "h", per_language, MAX_LANGUAGES)
+    # one row per text: few_by_hash's limits hold for different hashes, and copies share theirs
+    texts = hashed.groupBy("l", "h").agg(F.min("s").alias("s"))
+    rows = few_by_hash(texts, "l", "h", per_language, MAX_LANGUAGES)
     found = rows.orderBy("l", "h", "s").limit(per_language * MAX_LANGUAGES).collect()
     return [(r.s.encode(), r.l) for r in found]
 

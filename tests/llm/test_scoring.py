@@ -109,6 +109,16 @@ def test_language_held_out(spark):
     assert out.score.between(0, 1).all()
 
 
+def test_sample_counts_copies_once(spark):
+    copies = spark.range(20_000).selectExpr("concat('copied text ', id % 5) text", "'few' lang")  # 4,000 of each
+    mixed = (spark.range(300).selectExpr("concat('another text ', id) text", "'mixed' lang")
+             .union(spark.range(100_000).selectExpr("'one and the same' text", "'mixed' lang")))
+    got = langid.sample(copies.union(mixed), F.col("lang"), F.lit(True), 50)
+    of = {name: [s for s, l in got if l == name] for name in ("few", "mixed")}
+    assert sorted(of["few"]) == [b"copied text %d" % i for i in range(5)]
+    assert len(of["mixed"]) == len(set(of["mixed"])) == 50
+
+
 def test_language_odd_documents(spark, odd_docs, no_docs):
     net = langid.train([(b"the cat and the dog " * 9, "en"), ("le chat et le chien é ".encode() * 9, "fr")], steps=30)
     rows = langid.predict(odd_docs, net, ["doc_id"]).collect()
