@@ -251,6 +251,34 @@ def test_hot_line_buckets(spark, monkeypatch):
     assert [got[i] for i, _ in rows] == brute_lines(rows)
 
 
+def test_edits_of_ordinary_lines(spark, monkeypatch):
+    k, rng = 5, random.Random(12)  # shingles of five characters, whatever the module has
+    def word(): return "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    def han(n): return "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    pairs = []
+    for size in range(40, 101):
+        line = " ".join(word() for _ in range(40))[:size]
+        at = rng.randrange(10, size - 10)
+        pairs.append((line, line[:at] + "Z" + line[at + 1:]))
+        w = line.split(" ")
+        w[rng.randrange(len(w))] = word().upper()
+        pairs.append((line.upper(), " ".join(w).upper()))
+        line = han(size - 1) + "\U0001F600"
+        pairs.append((line, line[:at] + han(1) + line[at + 1:]))
+    pairs += [("tiny", "tinx"), ("abcdef", "abcdeg")]
+    def shingles(t): return {t[i:i + k] for i in range(max(len(t) - k + 1, 1))}
+    def jaccard(a, b): return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    near = [jaccard(a, b) >= 0.8 for a, b in pairs]
+    docs = spark.createDataFrame([(2 * i + j, p[j]) for i, p in enumerate(pairs) for j in (0, 1)], "doc_id long, text string")
+    for limit in (fuzzy_lines.ROW_BYTES, 60):
+        monkeypatch.setattr(fuzzy_lines, "ROW_BYTES", limit)
+        gone = {r.doc_id for r in fuzzy_lines.dedup_lines(docs).where("n_dropped > 0").collect()}
+        found = [2 * i + 1 in gone for i in range(len(pairs))]
+        assert sum(near) > 120 and not any(i % 2 == 0 for i in gone)
+        assert not any(f and not n for f, n in zip(found, near))
+        assert sum(found) >= 0.97 * sum(near)
+
+
 def test_lines_native(spark, odd_docs, no_docs):
     out = fuzzy_lines.dedup_lines(odd_docs)
     assert set(odd_docs.columns) <= set(out.columns)
