@@ -279,6 +279,18 @@ def test_edits_of_ordinary_lines(spark, monkeypatch):
         assert sum(found) >= 0.97 * sum(near)
 
 
+def test_recall_of_short_lines(spark):
+    rng = random.Random(13)
+    pairs = []
+    for i in range(1000):  # Jaccard 0.8: 8 of 10 and 16 of 20 shingles of five characters in common
+        line = "".join(rng.choice("abcdefghijklmnop") for _ in range(22 if i % 2 else 13))
+        pairs.append((line, ("Z" if i % 2 else line[0]) + line[1:-1] + "Z"))
+    docs = spark.createDataFrame([(2 * i + j, p[j]) for i, p in enumerate(pairs) for j in (0, 1)], "doc_id long, text string")
+    gone = {r.doc_id for r in fuzzy_lines.dedup_lines(docs).where("n_dropped > 0").collect()}
+    for kind in (0, 1):
+        assert sum(2 * i + 1 in gone for i in range(kind, 1000, 2)) >= 480
+
+
 def test_lines_native(spark, odd_docs, no_docs):
     out = fuzzy_lines.dedup_lines(odd_docs)
     assert set(odd_docs.columns) <= set(out.columns)
