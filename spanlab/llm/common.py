@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlab.session import checkpoint_dir
 
@@ -113,13 +114,24 @@ def bucketed(df: DataFrame, what: str, key: str) -> DataFrame:
     return spark.table(name)
 
 
-#: A written table of at most so many narrow rows is broadcast.
+#: A written table of at most so many narrow rows, with so many bytes in arrays, is broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
+
+
+def _array_bytes(name: str, kind: T.ArrayType) -> Column:
+    """Bytes of an array of numbers or strings, 8 for an element and those of the strings."""
+    c = F.col(name)
+    text = F.octet_length(F.concat_ws("", c)) if isinstance(kind.elementType, T.StringType) else F.lit(0)
+    return (F.greatest(F.size(c), F.lit(0)) * 8 + text).cast("long")
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` (a written table) with a broadcast hint, if its row count allows; else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df`` (a written table) with a broadcast hint, if its row count and the bytes of its
+    arrays allow; else as it is."""
+    arrays = [_array_bytes(f.name, f.dataType) for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    n, size = df.agg(F.count("*"), F.sum(sum(arrays, F.lit(0).cast("long")))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

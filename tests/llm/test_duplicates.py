@@ -8,7 +8,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from spanlab.llm import exact, fuzzy_lines, repeats, simhash
+from spanlab.llm import common, exact, fuzzy_lines, repeats, simhash
 from spanlab.llm.common import components
 
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -291,6 +291,19 @@ def test_recall_of_short_lines(spark):
         assert sum(2 * i + 1 in gone for i in range(kind, 1000, 2)) >= 480
 
 
+def test_wide_tables_are_not_broadcast(spark, monkeypatch):
+    def hinted(df): return "ResolvedHint" in common.small(df)._jdf.queryExecution().analyzed().toString()
+    numbers, names = "sequence(1, 1000000) gone", "array('a', repeat('b', 3000000)) items"
+    assert hinted(spark.range(20))
+    for column in (numbers, names):
+        assert hinted(spark.range(2).selectExpr("id", column))
+        assert not hinted(spark.range(20).selectExpr("id", column))
+    docs = spark.createDataFrame([(1, "a line\nanother"), (2, "a line\nits own"), (3, None)], "doc_id long, text string")
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    got = {r.doc_id: r.text for r in fuzzy_lines.dedup_lines(docs).collect()}
+    assert got == {1: "a line\nanother", 2: "its own", 3: None}
+
+
 def test_lines_native(spark, odd_docs, no_docs):
     out = fuzzy_lines.dedup_lines(odd_docs)
     assert set(odd_docs.columns) <= set(out.columns)
