@@ -106,7 +106,10 @@ class WordEncoder:
                 del self.known[word]
 
 
-_encoder = functools.lru_cache(1)(WordEncoder)
+@functools.lru_cache(1)
+def _encoder(path: str) -> WordEncoder:
+    """A worker's encoder, kept for its tasks."""
+    return WordEncoder(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, tokens: bool = False) -> DataFrame:
