@@ -17,7 +17,6 @@ from __future__ import annotations
 import array
 import functools
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,15 +44,15 @@ LONG_WORD = 200
 CHUNK_GROUPS = 1024
 
 
-_STOP = re.compile(r"(?<=[A-Za-z0-9])([.,])(?=[ \n])")
+#: ASCII punctuation, but for apostrophes, between a letter or digit and a blank: a token of its own.
+_STOP = r"([A-Za-z0-9])([!-&(-/:-@\[-`{-~]+)([ \n])"
 
 
 class WordEncoder:
     """Ids of whole texts from a cache of the ids of their blank-separated words.
 
     For tokenizers that drop white space and never let a token or a normalisation reach
-    across it.  A comma or full stop that ends a word
-    after an ASCII letter or digit is encoded apart from it.
+    across it.  Words are split and told apart in Arrow; Python sees the different ones.
     """
 
     def __init__(self, path: str):
@@ -67,18 +67,14 @@ class WordEncoder:
             self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {"": b""}
 
-    @staticmethod
-    def words(text: str) -> list[str]:
-        return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
-
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         if len(self.known) + len(words) > CACHE:
             self.known = {"": b""}
         plain = [w for w in words if w.isalpha()]
         rest = [w for w in words if not w.isalpha()]
         for at in range(0, len(plain), JOINED):
             part = plain[at:at + JOINED]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part):  # a word of several parts: normalising made a letter into more
                 rest += part
@@ -90,20 +86,23 @@ class WordEncoder:
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[word] = array.array("I", found.ids).tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of every text."""
-        split = [self.words(t) for t in texts]
-        need = {w for words in split for w in words}
-        if new := need.difference(self.known):
+    def encode(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
+        """Little-endian 32-bit ids of all texts, and where in them (in bytes) a text ends, from 0."""
+        texts = pc.fill_null(texts, "")
+        split = pc.split_pattern(pc.replace_substring(pc.replace_substring_regex(texts, _STOP, r"\1 \2\3"), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if new := [w for w in words if w not in self.known]:
+            if len(self.known) + len(new) > CACHE:
+                self.known, new = {"": b""}, words
             self._learn(new)
-            if not need <= self.known.keys():  # the cache was emptied
-                self._learn(need.difference(self.known))
-        get = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        ids = pa.array([self.known[w] for w in words], pa.large_binary()).take(coded.indices)
         for word in new:
             if len(word) > LONG_WORD:
-                del self.known[word]
+                self.known.pop(word, None)
+        starts = ids.buffers()[1]
+        byte_at = np.frombuffer(starts, np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
+        return ids.buffers()[2] or b"", byte_at[split.offsets.to_numpy()]
 
 
 @functools.lru_cache(1)
@@ -133,8 +132,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, tokens: bool =
         for batch in batches:
             at = batch.schema.get_field_index("text")
             rows, piece, crc, data, sizes = [], [], [], [], []
-            for row, ids in enumerate(encoder.encode([t.as_py() or "" for t in batch.column(at)])):
-                ids += end
+            encoded, stops = encoder.encode(batch.column(at))
+            encoded = memoryview(encoded)
+            for row in range(batch.num_rows):
+                ids = bytes(encoded[stops[row]:stops[row + 1]]) + end
                 for n, lo in enumerate(range(0, len(ids), width)):
                     part = ids[lo:lo + width]
                     rows.append(row), piece.append(n), sizes.append(len(part) >> 2), crc.append(zlib.crc32(part))
