@@ -133,15 +133,16 @@ def _views() -> list[tuple[str, str]]:
   SELECT doc_name, ord * 10 + 7, tid || 'z' || chr(9) || 'morphologie 0 5 9' || chr(9) || 'three numbers'
   FROM v_gold_sp WHERE ord % 29 = 0)"""))
     v.append(("v_lexicon", """v_lexicon AS (
-  SELECT p_type AS label, p_name AS content, p_brand AS code, p_partkey AS ordinal FROM part)"""))
+  SELECT p_type AS label, CASE WHEN p_partkey % 11 = 0 THEN replace(p_name, 'a', 'à') ELSE p_name END AS content,
+         p_brand AS code, p_partkey AS ordinal FROM part)"""))
     v.append(("v_mentions", """v_mentions AS (
   SELECT p_partkey AS mention_id,
          CASE WHEN p_partkey % 3 = 0 THEN upper(t)
               WHEN p_partkey % 3 = 1 THEN '  ' || t || ' ' ELSE t END AS text,
          CASE WHEN p_partkey % 2 = 0 THEN 'B-' ELSE 'I-' END || p_type AS label
-  FROM (SELECT *, substr(p_name, 1, (p_partkey % length(p_name))::INTEGER)
-                  || substr(p_name, (p_partkey % length(p_name))::INTEGER + 2) AS t
-        FROM part))"""))
+  FROM (SELECT *, substr(x, 1, (p_partkey % length(x))::INTEGER) || substr(x, (p_partkey % length(x))::INTEGER + 2) AS t
+        FROM (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN replace(p_name, 'a', 'à')
+                             WHEN p_partkey % 13 = 0 THEN replace(p_name, 'o', 'ô') ELSE p_name END AS x FROM part)))"""))
     v.append(("v_msgs", """v_msgs AS (
   SELECT conv_id * 4294967296 + turn AS doc_id, text FROM conversations)"""))
     v.append(("v_logits", """v_logits AS (
@@ -151,6 +152,29 @@ def _views() -> list[tuple[str, str]]:
     return v
 
 
+def register_single_bytes(name: str, strings: str) -> None:
+    """A one-row CTE (src, dst) for ``translate``: every non-ASCII character of the strings (a
+    SELECT of one column ``x``) and an ASCII character that none of them has.
+
+    DuckDB's ``levenshtein`` counts bytes; see :func:`edits`.
+    """
+    register(name, f"""{name} AS (
+  SELECT CASE WHEN count(*) FILTER (WHERE r IS NULL) > 0 THEN error('too many different characters')
+              ELSE coalesce(string_agg(c, '' ORDER BY c), '') END AS src,
+         coalesce(string_agg(r, '' ORDER BY c), '') AS dst
+  FROM (SELECT c, row_number() OVER (ORDER BY c) AS k
+        FROM (SELECT DISTINCT unnest(regexp_extract_all(x, '(?s).')) AS c FROM ({strings})) WHERE unicode(c) > 127)
+  LEFT JOIN (SELECT r, row_number() OVER (ORDER BY r) AS k
+             FROM (SELECT chr(i::INTEGER) AS r FROM range(1, 128) t(i))
+             WHERE r NOT IN (SELECT DISTINCT unnest(regexp_extract_all(x, '(?s).')) FROM ({strings}))) USING (k))""")
+
+
+def edits(a: str, b: str, single_bytes: str) -> str:
+    """Edit distance in code points."""
+    return (f"levenshtein(translate({a}, (SELECT src FROM {single_bytes}), (SELECT dst FROM {single_bytes})), "
+            f"translate({b}, (SELECT src FROM {single_bytes}), (SELECT dst FROM {single_bytes})))")
+
+
 _VIEWS: list[tuple[str, str]] | None = None
 # extra named CTEs registered by query modules (name -> sql), appended after views
 _EXTRA: list[tuple[str, str]] = []

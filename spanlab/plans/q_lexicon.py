@@ -8,7 +8,7 @@ from spanlab.functions.text import normalise_key, similarity
 from spanlab.operators import lexicon as lx
 from spanlab.plans import testviews as tv
 from spanlab.plans.catalogue import query
-from spanlab.plans.oracle import register
+from spanlab.plans.oracle import edits, register, register_single_bytes
 
 THRESHOLD = 0.8
 
@@ -26,13 +26,14 @@ register("o_mkeys", r"""o_mkeys AS (
 register("o_exact", """o_exact AS (
   SELECT m.*, x.code FROM o_mkeys m
   LEFT JOIN o_lex_index x ON x.label_key = m.label_key AND x.content_key = m.content_key)""")
+register_single_bytes("o_lex_bytes", "SELECT content_key AS x FROM o_mkeys UNION ALL SELECT content_key FROM o_lex_index")
 register("o_fuzzy", f"""o_fuzzy AS (
   SELECT label_key, content_key, lex_key AS matched, code, sim FROM (
     SELECT *, row_number() OVER (PARTITION BY label_key, content_key
                                  ORDER BY sim DESC, lex_key) AS rn
     FROM (SELECT m.label_key, m.content_key, x.content_key AS lex_key, x.code,
                  CASE WHEN greatest(length(m.content_key), length(x.content_key)) = 0 THEN 1.0
-                      ELSE 1.0::DOUBLE - levenshtein(m.content_key, x.content_key)::DOUBLE
+                      ELSE 1.0::DOUBLE - {edits('m.content_key', 'x.content_key', 'o_lex_bytes')}::DOUBLE
                            / greatest(length(m.content_key), length(x.content_key))::DOUBLE
                  END AS sim
           FROM (SELECT DISTINCT label_key, content_key FROM o_exact WHERE code IS NULL) m
@@ -56,10 +57,10 @@ def q_lexicon_stats(spark, sf):
     return lx.stats(tv.lexicon(spark, sf))
 
 
-@query("similarity", r"""
+@query("similarity", rf"""
 SELECT m.mention_id,
        round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0
-                  ELSE 1.0::DOUBLE - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))::DOUBLE
+                  ELSE 1.0::DOUBLE - {edits('a', 'b', 'o_lex_bytes')}::DOUBLE / greatest(length(a), length(b))::DOUBLE
              END, 6) AS sim
 FROM (SELECT mention_id, lower(regexp_replace(text, '@TRIM@', '', 'g')) AS a FROM v_mentions) m
 JOIN (SELECT p_partkey, lower(p_name) AS b FROM part) p ON p.p_partkey = m.mention_id""")

@@ -225,19 +225,22 @@ def ann_lines(spark, sf_dir) -> DataFrame:
 
 
 def lexicon(spark, sf_dir) -> DataFrame:
-    """v_lexicon: (label, content, code, ordinal) from ``part``."""
+    """v_lexicon: (label, content, code, ordinal) from ``part``, some keys accented."""
+    content = F.when(F.col("p_partkey") % 11 == 0, F.replace("p_name", F.lit("a"), F.lit("à"))).otherwise(F.col("p_name"))
     return table(spark, sf_dir, "part").select(
-        F.col("p_type").alias("label"), F.col("p_name").alias("content"),
+        F.col("p_type").alias("label"), content.alias("content"),
         F.col("p_brand").alias("code"), F.col("p_partkey").alias("ordinal"))
 
 
 def mentions(spark, sf_dir) -> DataFrame:
     """v_mentions: part names with one character deleted, BIO-prefixed labels,
-    some upper-cased or blank-padded."""
-    p = table(spark, sf_dir, "part")
-    n = F.length("p_name")
-    pos = (F.col("p_partkey") % n).cast("int")  # 0-based deleted position
-    typo = F.concat(F.substring("p_name", 1, pos), F.substring("p_name", pos + 2, 1 << 30))
+    some upper-cased, blank-padded or accented (as their key is, or unlike it)."""
+    key = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").withColumn("x", F.when(key % 11 == 0, F.replace("p_name", F.lit("a"), F.lit("à")))
+                                                .when(key % 13 == 0, F.replace("p_name", F.lit("o"), F.lit("ô")))
+                                                .otherwise(F.col("p_name")))
+    pos = (key % F.length("x")).cast("int")  # 0-based deleted position
+    typo = F.concat(F.substring("x", 1, pos), F.substring("x", pos + 2, 1 << 30))
     text = (F.when((F.col("p_partkey") % 3) == 0, F.upper(typo))
             .when((F.col("p_partkey") % 3) == 1, F.concat(F.lit("  "), typo, F.lit(" ")))
             .otherwise(typo))
