@@ -1,9 +1,8 @@
 """BIO tags: decode (W3), encode/align (W4, J9), merge windows (W7),
 span de-duplication (W13), softmax/argmax scoring (M1).
 
-Relational forms use ordered windows keyed on ``doc_id`` (gaps and islands);
-array forms (``decode_array``) work on one document row with higher-order
-functions.
+Ordered windows keyed on ``doc_id`` (gaps and islands); :mod:`spanlab.operators.automaton`
+has the row-local form for lexicon phrases.
 """
 
 from __future__ import annotations
@@ -214,46 +213,3 @@ def merge_windows(window_preds: DataFrame, doc_col: str = "doc_id") -> DataFrame
     return window_preds.groupBy(doc_col, "s").agg(
         F.min_by(F.struct("e", "tag", "score"), F.struct("chunk", "j")).alias("_p")
     ).select(doc_col, "s", "_p.e", "_p.tag", "_p.score")
-
-
-# ---------------------------------------------------------------------------
-# Array (per-row) forms: no window, usable on streams.
-
-def decode_array(tokens: Column, text: Column | None = None) -> Column:
-    """W3 on one document: ``array<struct<s,e,tag,score>>`` sorted by ``s`` ->
-    ``array<struct<text,label,start,end,score>>``.
-
-    Linear: boundaries are the positions that open an entity or are ``O``; an
-    entity runs from its opening position to the next boundary.
-    """
-    n = F.size(tokens)
-
-    def tag_at(k):
-        return F.get(tokens, k)["tag"]
-
-    opens = F.transform(tokens, lambda t, k: F.when(
-        k == 0, start_flag(t["tag"], F.lit(None).cast("string"))
-    ).otherwise(start_flag(t["tag"], tag_at(k - 1))))
-    bounds = F.filter(F.sequence(F.lit(0), n - 1),
-                      lambda k: (F.get(opens, k)) | (tag_at(k) == "O"))
-    nb = F.size(bounds)
-    starts = F.filter(F.sequence(F.lit(0), nb - 1), lambda j: tag_at(F.get(bounds, j)) != "O")
-
-    def entity(j):
-        a = F.get(bounds, j)
-        b = F.coalesce(F.get(bounds, j + 1), n)  # exclusive
-        run = F.slice(tokens, a + 1, b - a)
-        mean = F.aggregate(run, F.lit(0.0), lambda acc, x: acc + x["score"]) / (b - a)
-        st = F.get(tokens, a)["s"]
-        en = F.get(tokens, b - 1)["e"]
-        fields = [
-            F.substring(tag_at(a), 3, 1 << 30).alias("label"),
-            st.alias("start"), en.alias("end"), F.round(mean, 4).alias("score"),
-        ]
-        if text is not None:
-            fields.insert(0, F.substring(text, st + 1, en - st).alias("text"))
-        return F.struct(*fields)
-
-    empty = F.array().cast("array<int>")
-    return F.when(n == 0, F.transform(empty, lambda j: entity(j))).otherwise(
-        F.transform(starts, entity))

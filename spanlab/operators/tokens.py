@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,6 +85,11 @@ def pieces(texts: pa.Array) -> pa.Array:
 _pieces = F.arrow_udf(pieces, _PIECES)
 
 
+def piece_arrays(text: Column) -> Column:
+    """W1 as a column: the non-blank runs of a text as ``array<struct<s,e,w>>`` (null: empty)."""
+    return _pieces(text)
+
+
 def tokenize(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text)`` -> ``(doc_id, i, s, e, w)``, one row per non-blank run.
 

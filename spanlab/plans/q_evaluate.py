@@ -6,12 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanlab import schemas
-from spanlab.operators import bio, evaluate as ev
+from spanlab.operators import benchmark as bm, bio, evaluate as ev
 from spanlab.operators import tokens as tok
 from spanlab.plans import q_tokens as qt
 from spanlab.plans import testviews as tv
 from spanlab.plans.catalogue import query
-from spanlab.plans.oracle import register
+from spanlab.plans.oracle import bucket, register
 
 # ---- oracle CTEs -----------------------------------------------------------------
 
@@ -379,3 +379,73 @@ SELECT count(*) FILTER (WHERE NOT contains(lower(model), 'optimized')) AS n_base
 FROM o_seq_models""")
 def q_model_gain(spark, sf):
     return ev.model_gain(_multi(spark, sf))
+
+
+# ---- several models, some of which fail (M6) ---------------------------------------
+
+def salted_model(salt: str):
+    """A factory of stand-in models: a word's label is the md5 of word and salt, modulo 9."""
+    def make():
+        import hashlib
+
+        import numpy as np
+
+        def predict(batch):
+            return [np.eye(9)[[int(hashlib.md5((w + salt).encode()).hexdigest()[:8], 16) % 9 for w in words]].reshape(-1, 9)
+                    for words in batch]
+        return predict
+    return make
+
+
+#: One word in so many stops the fragile model.
+FRAGILE = 997
+
+
+def fragile_model():
+    """Raises on a batch that holds a word it does not know."""
+    import hashlib
+    whole = salted_model("f")()
+
+    def predict(batch):
+        for words in batch:
+            for w in words:
+                if int(hashlib.md5((w + "?").encode()).hexdigest()[:8], 16) % FRAGILE == 0:
+                    raise ValueError(f"unknown word {w}")
+        return whole(batch)
+    return predict
+
+
+def missing_model():
+    raise FileNotFoundError("no weights")
+
+
+ISOLATED = {"m1": salted_model("a"), "m2_optimized": salted_model("b"), "m3_fragile": fragile_model, "m4_missing": missing_model}
+
+
+def _isolated_tags(model: str, salt: str) -> str:
+    whens = " ".join(f"WHEN {i} THEN '{lbl}'" for i, lbl in schemas.ID2LABEL.items())
+    return (f"SELECT '{model}' AS model, l.doc_id, l.chunk, l.j, l.tag AS gold_tag, "
+            f"CASE {bucket(f"t.w || '{salt}'", 9)} {whens} END AS pred_tag FROM o_win_labels l JOIN o_win_tokens t "
+            "ON t.doc_id = l.doc_id AND t.chunk = l.chunk AND t.j = l.j")
+
+
+register("o_iso_pairs", f"o_iso_pairs AS ({_isolated_tags('m1', 'a')} UNION ALL {_isolated_tags('m2_optimized', 'b')})")
+register("o_iso_results", "o_iso_results AS (" + _seq_sql("o_iso_pairs", "doc_id, chunk", "model") + ")")
+register("o_iso_failed", f"""o_iso_failed AS (
+  SELECT doc_id, chunk, 'ValueError: unknown word ' || arg_min(w, j) AS reason
+  FROM o_win_tokens WHERE {bucket("w || '?'", FRAGILE)} = 0 GROUP BY doc_id, chunk)""")
+
+
+@query("benchmark_failures", """
+SELECT s.model, contains(lower(s.model), 'optimized') AS optimized, r.precision AS seqeval_precision,
+       r.recall AS seqeval_recall, r.f1 AS seqeval_f1, r.n_chunks,
+       CASE WHEN s.n_failed > 0 THEN 'failed' ELSE 'ok' END AS status, n.n AS n_windows, s.n_failed, s.reason
+FROM (SELECT 'm1' AS model, 0::BIGINT AS n_failed, NULL::VARCHAR AS reason
+      UNION ALL SELECT 'm2_optimized', 0, NULL
+      UNION ALL SELECT 'm3_fragile', (SELECT count(*) FROM o_iso_failed), (SELECT min(reason) FROM o_iso_failed)
+      UNION ALL SELECT 'm4_missing', (SELECT count(*) FROM o_chunks), 'FileNotFoundError: no weights') s
+CROSS JOIN (SELECT count(*) AS n FROM o_chunks) n
+LEFT JOIN o_iso_results r ON r.model = s.model AND s.n_failed = 0""")
+def q_benchmark_failures(spark, sf):
+    labels = bio.window_labels(qt.aligned(spark, sf), qt.MAX_LEN, qt.STRIDE, qt.SPECIALS)
+    return bm.benchmark_models(tok.window_arrays(labels, label_col="label_id"), ISOLATED)

@@ -250,11 +250,15 @@ def mentions(spark, sf_dir) -> DataFrame:
                     label.alias("label"))
 
 
+def turn_id() -> Column:
+    """One id for a conversation and a turn."""
+    return F.col("conv_id") * (1 << 32) + F.col("turn")
+
+
 def msgs(spark, sf_dir) -> DataFrame:
     """v_msgs: a batch of texts (conversation turns) keyed by one id (32 bits for the turn)."""
     c = table(spark, sf_dir, "conversations")
-    return tok.by_document(c.select(
-        (F.col("conv_id") * (1 << 32) + F.col("turn")).alias("doc_id"), "text"))
+    return tok.by_document(c.select(turn_id().alias("doc_id"), "text"))
 
 
 def logits(spark, sf_dir) -> DataFrame:

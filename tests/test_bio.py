@@ -31,23 +31,6 @@ def test_decode_cases(spark):
         [("morphologie", 10, 29, 0.6)]
 
 
-def test_decode_array_matches_relational(spark):
-    import random
-    rnd = random.Random(3)
-    labels = ["O", "B-morphologie", "I-morphologie", "B-topographie", "I-topographie"]
-    seqs = [[(rnd.choice(labels), rnd.randint(1, 255) / 256) for _ in range(rnd.randint(0, 30))]
-            for _ in range(20)]
-    rows = [(d, k, 10 * k, 10 * k + 9, t, sc) for d, seq in enumerate(seqs)
-            for k, (t, sc) in enumerate(seq)]
-    df = spark.createDataFrame(rows, "doc_id long, i int, s int, e int, tag string, score double")
-    rel = sorted((r.doc_id, r.label, r.start, r.end, r.score) for r in bio.decode(df).collect())
-    arr = df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "tag", "score")))
-                                   .alias("toks"))
-    out = arr.select("doc_id", F.explode(bio.decode_array(F.col("toks"))).alias("x"))
-    hof = sorted((r.doc_id, r.x.label, r.x.start, r.x.end, r.x.score) for r in out.collect())
-    assert rel == hof
-
-
 def test_tokenize_offsets(spark):
     text = "  Carcinome  canalaire\tinfiltré.\n"
     d = spark.createDataFrame([(1, text), (2, ""), (3, "a")], "doc_id long, text string")
