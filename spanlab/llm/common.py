@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -99,7 +100,21 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/spanlab-{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+#: Where written tables lie, as long as their DataFrame is used.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialise` whose every consumer has been written."""
+    for table in tables:
+        spark, path = table.sparkSession, _PATHS.pop(table)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bucketed(df: DataFrame, what: str, key: str) -> DataFrame:
