@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import uuid
@@ -91,6 +92,18 @@ def rows_in(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return marked.join(small(keys.toDF(*names)), names, how).select(*docs.columns)
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query go when it has ended, not when the driver's garbage collector finds out."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
@@ -99,7 +112,8 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/spanlab-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with freed_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
@@ -125,7 +139,8 @@ def bucketed(df: DataFrame, what: str, key: str) -> DataFrame:
     spark = df.sparkSession
     name = f"spanlab_{what}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).option("compression", "zstd").format("parquet").saveAsTable(name)
+    with freed_shuffles(spark):
+        df.write.bucketBy(n, key).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
@@ -207,7 +222,8 @@ def components(edges: DataFrame, what: str,
         joined = large.join(least, "b")
         small = (joined.select(F.col("m").alias("a"), F.col("a").alias("b"))
                  .union(joined.select(F.col("m").alias("a"), "b")).where(a != b).distinct())
-        edges = materialise(small, what)
+        last, edges = edges, materialise(small, what)
+        discard(last)
         after, turn = digest(edges), turn + 1
         if log:
             log(turn, after[0])
