@@ -144,23 +144,25 @@ def bucketed(df: DataFrame, what: str, key: str) -> DataFrame:
     return spark.table(name)
 
 
-#: A written table of at most so many narrow rows, with so many bytes in arrays, is broadcast.
+#: A written table of at most so many rows, with so many bytes in strings and arrays, is broadcast.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
 
 
-def _array_bytes(name: str, kind: T.ArrayType) -> Column:
-    """Bytes of an array of numbers or strings, 8 for an element and those of the strings."""
+def _bytes(name: str, kind: T.DataType) -> Column:
+    """Bytes of a value of variable width: a string's, or 8 for an element of an array and those of its strings."""
     c = F.col(name)
+    if not isinstance(kind, T.ArrayType):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
     text = F.octet_length(F.concat_ws("", c)) if isinstance(kind.elementType, T.StringType) else F.lit(0)
     return (F.greatest(F.size(c), F.lit(0)) * 8 + text).cast("long")
 
 
 def small(df: DataFrame) -> DataFrame:
     """``df`` (a written table) with a broadcast hint, if its row count and the bytes of its
-    arrays allow; else as it is."""
-    arrays = [_array_bytes(f.name, f.dataType) for f in df.schema if isinstance(f.dataType, T.ArrayType)]
-    n, size = df.agg(F.count("*"), F.sum(sum(arrays, F.lit(0).cast("long")))).first()
+    strings and arrays allow; else as it is."""
+    wide = [_bytes(f.name, f.dataType) for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.StringType, T.BinaryType))]
+    n, size = df.agg(F.count("*"), F.sum(sum(wide, F.lit(0).cast("long")))).first()
     return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 

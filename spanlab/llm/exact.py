@@ -5,7 +5,8 @@
    (the remainder) is kept in the run with a count.  No bit is lost, so a filter
    is the multiset of its fingerprints.
 2. Filters are cut by quotient into ranges; the pieces of a range meet in one task
-   and are merged by their sorted remainders, counts added.
+   and are merged: the filter of a range is built anew from the sorted fingerprints of
+   all its pieces, counts added.
 3. Only texts whose fingerprint has a count above one go to byte verification: they
    are grouped by their normalised text itself.
 """

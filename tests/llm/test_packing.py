@@ -285,3 +285,17 @@ def test_encoder_with_a_small_cache(monkeypatch):
         data, stops = encoder.encode(pa.array([text, None, "a b c " + text]))
         ids = [np.frombuffer(memoryview(data)[a:b], np.uint32).tolist() for a, b in zip(stops, stops[1:])]
         assert ids == [e.ids for e in encoder.tokenizer.encode_batch([text, "", "a b c " + text], add_special_tokens=False)]
+
+
+def test_broadcast_counts_every_wide_column(spark):
+    from spanlab.llm.common import materialise, small
+    hint = lambda df: "BroadcastExchange" in spark.range(3).join(
+        small(df), "id")._jdf.queryExecution().executedPlan().toString()
+    narrow = materialise(spark.range(1000), "small-narrow")
+    wide = materialise(spark.range(1000).withColumn("x", F.repeat(F.lit("y"), 20_000)), "small-wide")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert hint(narrow) and not hint(wide)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
