@@ -116,18 +116,23 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK):
             part = batch.slice(at, BLOCK)
-            raw = counts(part.column(1).to_pylist())
-            yield pa.record_batch([part.column(0), pa.array([r.tobytes() for r in raw], pa.binary())],
-                                  names=["label", "raw"])
+            raw = counts(part.column(3).to_pylist())
+            yield pa.record_batch([*part.columns[:3], pa.array([r.tobytes() for r in raw], pa.binary())],
+                                  names=["label", "doc_id", "h", "raw"])
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = SAMPLE_PER_LABEL):
-    """Counts and labels of at most ``per_label`` texts of each label, chosen by hash of the id."""
+    """Counts and labels of at most ``per_label`` documents of each label, chosen by hash of the id.
+
+    Where doc_ids repeat in ``docs``, the first ``4 * per_label`` rows by doc_id and hash of the text.
+    """
     known = (labels.where(learn & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg(F.max("label").alias("label")))
     chosen = few_by_hash(known.withColumn("h", F.xxhash64("doc_id")), "label", "h", per_label, 2).select("doc_id", "label")
-    rows = (docs.join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int"), "text")
-            .mapInArrow(_features, "label int, raw binary").limit(4 * per_label).toPandas())
+    rows = (docs.join(F.broadcast(chosen), "doc_id")
+            .select(F.col("label").cast("int"), F.col("doc_id").cast("string"), F.xxhash64("text").alias("h"), "text")
+            .mapInArrow(_features, "label int, doc_id string, h long, raw binary")
+            .orderBy("doc_id", "h", "raw").limit(4 * per_label).select("label", "raw").toPandas())
     rows = rows.sort_values(["label", "raw"])
     raw = np.stack([np.frombuffer(r, np.float32) for r in rows["raw"]]) if len(rows) else np.zeros((0, FEATURES + STYLE), np.float32)
     return raw, rows["label"].to_numpy()
