@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanlab import schemas
 from spanlab.functions.text import length_category
-from spanlab.operators import corpus, splits
+from spanlab.operators import corpus, splits, stratify
 from spanlab.operators import tokens as tok
 from spanlab.plans import testviews as tv
 from spanlab.plans.catalogue import query
@@ -255,6 +255,28 @@ def q_split_exact(spark, sf):
     return splits.exact_split_docs(cleaned(spark, sf))
 
 
+register("o_label_docs", """o_label_docs AS (
+  SELECT label, count(DISTINCT doc_name) AS n FROM o_clean GROUP BY label)""")
+
+
+@query("split_stratified", """
+SELECT label, split, (n * w // 100 + CASE WHEN row_number() OVER (PARTITION BY label ORDER BY n * w % 100 DESC, k)
+         <= n - n * 80 // 100 - 2 * (n * 10 // 100) THEN 1 ELSE 0 END)::BIGINT AS n_docs
+FROM o_label_docs, (VALUES ('train', 80, 0), ('val', 10, 1), ('test', 10, 2)) AS part(split, w, k)""")
+def q_split_stratified(spark, sf):
+    c = keep(cleaned(spark, sf).select("doc_name", "label"))  # masks and shares
+    parts = stratify.stratified_split_docs(c, schemas.ENTITY_TYPES)
+    return stratify.label_shares(c, parts, schemas.ENTITY_TYPES)
+
+
+@query("split_stratified_cover", """
+SELECT count(DISTINCT doc_name) AS n_docs, count(DISTINCT doc_name) AS n_covered,
+       0::BIGINT AS n_train_val, 0::BIGINT AS n_train_test, 0::BIGINT AS n_val_test
+FROM o_clean WHERE doc_name IS NOT NULL""")
+def q_split_stratified_cover(spark, sf):
+    return splits.split_leakage(stratify.stratified_split_docs(cleaned(spark, sf), schemas.ENTITY_TYPES))
+
+
 @query("split_stats", """
 SELECT split, count(DISTINCT doc_name) AS n_docs, count(*) AS n_entities FROM o_split
 GROUP BY split""")
