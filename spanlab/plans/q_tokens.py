@@ -300,3 +300,18 @@ def q_score_windows(spark, sf):
     from spanlab.operators.scoring import model_scorer
     scored = model_scorer(word_model, MAX_LEN, STRIDE, SPECIALS)(tv.tokens(spark, sf))
     return scored.withColumn("score", F.round("score", 6))
+
+
+# ---- sequence training (M3) --------------------------------------------------
+
+@query("crf_tagger")
+def q_crf_tagger(spark, sf):
+    """A conditional random field fitted on the training documents tags the others: gold and best tag, and
+    its probability, of every token."""
+    from spanlab.operators import crf
+    parts = splits.hash_split(tv.gold_tags(spark, sf), "doc_id", method="md5")
+    model = crf.fit(parts.where(F.col("split") == "train"))
+    rest = parts.where(F.col("split") != "train")
+    tagged = crf.scorer(model, MAX_LEN, STRIDE, SPECIALS)(rest.select("doc_id", "i", "s", "e", "w"))
+    gold = rest.select("doc_id", "i", "split", F.col("tag").alias("gold_tag"))
+    return tagged.join(gold, ["doc_id", "i"]).withColumn("score", F.round("score", 4))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -119,3 +120,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local_dir = tempfile.mkdtemp(prefix="spanlab-ckpt-")
     sc.setCheckpointDir(local_dir)
     return local_dir
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written under the shared checkpoint folder and read back: an intermediate that many jobs
+    read and that outlives lost executors.  :func:`drop_written` frees it."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete the files of a table made by :func:`written`, after its last reader."""
+    spark = df.sparkSession
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        if os.path.basename(folder).startswith("written-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
