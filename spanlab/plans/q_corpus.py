@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanlab import schemas
 from spanlab.functions.text import length_category
-from spanlab.operators import corpus, splits, stratify
+from spanlab.operators import corpus, sketches, splits, stratify
 from spanlab.operators import tokens as tok
 from spanlab.plans import testviews as tv
 from spanlab.plans.catalogue import query
@@ -239,6 +239,23 @@ def q_long_doc_share(spark, sf):
     return corpus.long_doc_share(tok.token_counts(tv.table(spark, sf, "documents")), 512)
 
 
+@query("sketch_profile", """
+SELECT label, count(*)::BIGINT AS n, round(avg(length(content)), 6) AS avg_length,
+       true AS documents_close, true AS median_close
+FROM o_clean GROUP BY label""")
+def q_sketch_profile(spark, sf):
+    """A2, A3 from states per split and label, merged per label; the estimates are compared with exact counts."""
+    c = keep(splits.hash_split(cleaned(spark, sf), method="md5").select("doc_name", "label", "content", "split"))
+    p = sketches.profile(sketches.states(c, ("split", "label")), ("label",), (0.5,))
+    n = F.length("content")
+    exact = c.join(p.select("label", "q50"), "label").groupBy("label").agg(
+        F.count_distinct("doc_name").alias("_docs"), F.avg((n < F.col("q50")).cast("int")).alias("_below"),
+        F.avg((n <= F.col("q50")).cast("int")).alias("_upto"))
+    return p.join(exact, "label").select(
+        "label", "n", "avg_length", (F.abs(F.col("n_documents") / F.col("_docs") - 1) < 0.04).alias("documents_close"),
+        ((F.col("_below") < 0.52) & (F.col("_upto") > 0.48)).alias("median_close"))
+
+
 # ---- splits --------------------------------------------------------------------
 
 @query("split_hash", f"""
