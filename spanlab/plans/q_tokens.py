@@ -182,6 +182,31 @@ def q_window_pad(spark, sf):
         F.size(F.filter("labels", lambda x: x == schemas.IGNORE_INDEX)).alias("n_ignored"))
 
 
+_PAD = f"({MAX_LEN} - count(*))"
+_LABEL_ID = "(list_position([" + ", ".join(f"'{x}'" for x in schemas.LABELS) + "], l.tag) - 1)::VARCHAR"
+
+
+@query("window_contents", f"""
+SELECT doc_id, chunk::INTEGER AS chunk,
+       md5(string_agg(w.w, ' ' ORDER BY w.j) || repeat(' ', {_PAD}::INTEGER)) AS words_md5,
+       md5(string_agg(w.s::VARCHAR || '-' || w.e::VARCHAR, ',' ORDER BY w.j) || repeat(',0-0', {_PAD}::INTEGER))
+         AS offsets_md5,
+       md5(string_agg({_LABEL_ID}, ',' ORDER BY w.j) || repeat(',{schemas.IGNORE_INDEX}', {_PAD}::INTEGER)) AS labels_md5,
+       md5(repeat('1', count(*)::INTEGER) || repeat('0', {_PAD}::INTEGER)) AS mask_md5
+FROM o_win_tokens w JOIN o_win_labels l USING (doc_id, chunk, j) GROUP BY doc_id, chunk""")
+def q_window_contents(spark, sf):
+    """Digests of the padded arrays themselves."""
+    arr = tok.window_arrays(_window_labels(spark, sf, "none"), label_col="label_id")
+    p = tok.pad_windows(arr, MAX_LEN)
+    text = lambda sep, array: F.md5(F.array_join(array, sep))
+    return p.select(
+        "doc_id", "chunk",
+        text(" ", F.transform("tokens", lambda x: x["w"])).alias("words_md5"),
+        text(",", F.transform("tokens", lambda x: F.concat_ws("-", x["s"], x["e"]))).alias("offsets_md5"),
+        text(",", F.col("labels").cast("array<string>")).alias("labels_md5"),
+        text("", F.col("attention_mask").cast("array<string>")).alias("mask_md5"))
+
+
 # ---- window predictions and their merge (W7) -------------------------------
 
 def disagree(tag):
