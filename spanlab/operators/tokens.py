@@ -172,19 +172,19 @@ def windows(tokens: DataFrame, max_length: int = 512, stride: int = 256,
 
 
 def window_arrays(window_tokens_df: DataFrame, label_col: str | None = None,
-                  doc_col: str = "doc_id") -> DataFrame:
+                  doc_col: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
     """One row per window, tokens (and labels) as ordered arrays.
 
-    The group is one window: bounded by ``max_length``.
+    The group is one window: bounded by ``max_length``.  ``extra`` columns join the token's struct.
     """
-    fields = [F.col("j"), F.col("s"), F.col("e"), F.col("w")]
+    fields = [F.col("j"), F.col("s"), F.col("e"), F.col("w"), *map(F.col, extra)]
     if label_col is not None:
         fields.append(F.col(label_col).alias("label"))
     agg = F.array_sort(F.collect_list(F.struct(*fields)))
     out = window_tokens_df.groupBy(doc_col, "chunk").agg(agg.alias("tokens"))
     cols = [F.col(doc_col), F.col("chunk"),
-            F.transform("tokens", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"),
-                                                     x["w"].alias("w"))).alias("tokens")]
+            F.transform("tokens", lambda x: F.struct(*[x[c].alias(c) for c in ("s", "e", "w", *extra)]))
+            .alias("tokens")]
     if label_col is not None:
         cols.append(F.transform("tokens", lambda x: x["label"]).alias("labels"))
     return out.select(*cols)

@@ -31,7 +31,7 @@ def query(name: str, oracle: str | None = None):
 def _load() -> None:
     # import for side effects: each module registers its queries
     from spanlab.plans import (  # noqa: F401
-        q_corpus, q_tokens, q_lexicon, q_evaluate, q_serving, q_stream)
+        q_corpus, q_tokens, q_subword, q_lexicon, q_evaluate, q_serving, q_stream)
 
 
 def queries() -> dict[str, Builder]:
