@@ -7,7 +7,7 @@ tasks.  Tokens carry code point offsets, so spans align to them like to any othe
 A window holds ``max_length`` ids.  Its first and last real ids are the special ones given,
 so that ``max_length - specials`` stay for content (510 of 512, starts 254 apart with a
 stride of 256).  Cutting is row-local: token and window arrays are built inside a
-document's row, without a shuffle.
+document's row, without a shuffle; labels cost one join of documents and their spans.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlab import schemas
-from spanlab.operators import bio
 from spanlab.operators import tokens as tok
 
 #: A larger vocabulary file is refused, as every executor receives it.
 MAX_FILE_BYTES = 64 << 20
 #: Characters handed to the tokenizer at a time.
 CALL_CHARS = 1 << 20
-TOKEN = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()),
-                      T.StructField("w", T.StringType()), T.StructField("id", T.IntegerType()),
-                      T.StructField("word", T.IntegerType())])
 
 
 @lru_cache(maxsize=4)
@@ -78,46 +75,104 @@ class Vocabulary:
             raise ValueError(f"the vocabulary has no token {token!r}")
         return found
 
-    def arrays(self, text: Column) -> Column:
-        """A text as ``array<struct<s,e,w,id,word>>`` (null: empty).
+    def arrays(self, text: Column, spans: Column | None = None, surface: bool = True) -> Column:
+        """A text as ``array<struct<s,e,id,...>>`` (null: empty).
 
-        ``w`` is the text between the offsets, ``word`` numbers the words the tokenizer cuts first.
-        Blanks that a token has taken in at either side are outside its offsets, so a token is
-        contained in the span of its word; a token of blanks alone keeps its own.
+        With ``surface`` also ``w``, the text between the offsets, and ``word``, the number of the word
+        that the tokenizer cuts first.  Blanks that a token has taken in at either side are outside its
+        offsets, so a token is contained in the span of its word; a token of blanks alone keeps its own.
+        With ``spans`` (``array<struct<ord,start,end,label>>``; null: none) also ``label_id``, as :func:`_labels`.
         """
-        def cut(texts: pa.Array) -> pa.Array:
-            return _cut(self.tokenizer(), texts)
-        return F.arrow_udf(cut, T.ArrayType(TOKEN))(text)
+        fields = ["s", "e", "id"] + (["w", "word"] if surface else []) + (["label_id"] if spans is not None else [])
+        kind = T.ArrayType(T.StructType([T.StructField(f, T.StringType() if f == "w" else T.IntegerType())
+                                         for f in fields]))
 
+        if spans is None:
+            def cut(texts: pa.Array) -> pa.Array:
+                return _cut(self.tokenizer(), texts, None, surface)
+            return F.arrow_udf(cut, kind)(text)
 
-def _cut(tokenizer, texts: pa.Array) -> pa.Array:
+        def cut_labelled(texts: pa.Array, of: pa.Array) -> pa.Array:
+            return _cut(self.tokenizer(), texts, of, surface)
+        return F.arrow_udf(cut_labelled, kind)(text, spans)
+
+
+_BLANK = tok._blank_table()
+
+
+def _trim(text: str, at: np.ndarray) -> np.ndarray:
+    """Offsets without the blanks at their sides, unless there is nothing else."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    blank = _BLANK[np.minimum(points, 0x3001)]
+    if not blank.any():
+        return at
+    place = np.arange(len(points) + 1, dtype=np.int32)
+    after = np.minimum.accumulate(np.append(np.where(blank, len(points), place[:-1]), len(points))[::-1])[::-1]
+    before = np.maximum.accumulate(np.append(0, np.where(blank, 0, place[1:])))
+    s, e = after[at[:, 0]], before[at[:, 1]]
+    return np.where((s < e)[:, None], np.stack([s, e], 1), at).astype(np.int32)
+
+
+def _labels(at: np.ndarray, spans: list[dict] | None) -> np.ndarray:
+    """The label ids of a document's tokens.
+
+    A token inside several spans takes the one of the smallest ``ord``; the first token that a span takes
+    gets ``B-``, later ones ``I-``.  A span whose label is not in the vocabulary of labels is an error.
+    """
+    out = np.full(len(at), schemas.LABEL2ID["O"], np.int32)
+    if not spans or not len(at):
+        return out
+    spans = sorted(spans, key=lambda x: x["ord"])
+    owner = np.full(len(at), -1)
+    ordered = bool((np.diff(at, axis=0) >= 0).all())
+    for k in range(len(spans) - 1, -1, -1):  # the smallest is painted last
+        a, b = spans[k]["start"], spans[k]["end"]
+        if a is None or b is None:
+            continue
+        if ordered:  # the tokens inside are neighbours
+            owner[np.searchsorted(at[:, 0], a):np.searchsorted(at[:, 1], b, "right")] = k
+        else:
+            owner[(at[:, 0] >= a) & (at[:, 1] <= b)] = k
+    taken, first = np.unique(owner, return_index=True)
+    for k, i in zip(taken.tolist(), first.tolist()):
+        if k >= 0:
+            out[owner == k] = schemas.LABEL2ID[f"I-{spans[k]['label']}"]
+            out[i] = schemas.LABEL2ID[f"B-{spans[k]['label']}"]
+    return out
+
+
+def _cut(tokenizer, texts: pa.Array, spans: pa.Array | None, surface: bool) -> pa.Array:
     strings = [t or "" for t in texts.to_pylist()]
-    s, e, ids, words, surface, counts = [], [], [], [], [], []
+    none = np.zeros(0, np.int32)
+    at, ids, words, pieces, labels, counts = [none.reshape(0, 2)], [none], [], [], [none], [0]
     held, chars = [], 0
     for k, text in enumerate(strings):
-        held.append(text)
+        held.append(k)
         chars += len(text)
         if chars < CALL_CHARS and k + 1 < len(strings):
             continue
-        for own, enc in zip(held, tokenizer.encode_batch(held, add_special_tokens=False)):
-            counts.append(len(enc.ids))
-            ids.append(np.array(enc.ids, np.int32))
-            words += enc.word_ids
-            at = np.array(enc.offsets, np.int32).reshape(-1, 2)
-            for j, (a, b) in enumerate(at.tolist()):
-                w = own[a:b]
-                if w and (w[0].isspace() or w[-1].isspace()) and not w.isspace():
-                    at[j] = a + len(w) - len(w.lstrip()), a + len(w.rstrip())
-                    w = w.strip()
-                surface.append(w)
-            s.append(at[:, 0])
-            e.append(at[:, 1])
+        for d, enc in zip(held, tokenizer.encode_batch([strings[d] for d in held], add_special_tokens=False)):
+            n = len(enc)
+            counts.append(n)
+            ids.append(np.fromiter(enc.ids, np.int32, n))
+            own = np.fromiter(chain.from_iterable(enc.offsets), np.int32, 2 * n).reshape(-1, 2)
+            own = _trim(strings[d], own) if n else own
+            at.append(own)
+            if surface:
+                words += enc.word_ids
+                pieces += [strings[d][a:b] for a, b in own.tolist()]
+            if spans is not None:
+                labels.append(_labels(own, spans[d].as_py()))
         held, chars = [], 0
-    join = lambda parts: pa.array(np.concatenate([np.zeros(0, np.int32), *parts]))
-    items = pa.StructArray.from_arrays(
-        [join(s), join(e), pa.array(surface, pa.string()), join(ids), pa.array(words, pa.int32())],
-        names=["s", "e", "w", "id", "word"])
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), items)
+    at = np.concatenate(at)
+    columns = {"s": pa.array(np.ascontiguousarray(at[:, 0])), "e": pa.array(np.ascontiguousarray(at[:, 1])),
+               "id": pa.array(np.concatenate(ids))}
+    if surface:
+        columns |= {"w": pa.array(pieces, pa.string()), "word": pa.array(words, pa.int32())}
+    if spans is not None:
+        columns["label_id"] = pa.array(np.concatenate(labels))
+    items = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), items)
 
 
 def tokenizer(vocabulary: Vocabulary, text_col: str = "text") -> tok.Tokenizer:
@@ -172,40 +227,50 @@ def model_inputs(windows: DataFrame, begin_id: int | None, end_id: int | None, p
     return out
 
 
+def _windows(rows: DataFrame, vocabulary: Vocabulary, begin: str | None, end: str | None, pad: str | None,
+             max_length: int, stride: int, *keys: str) -> DataFrame:
+    """The windows of the token arrays ``_all``."""
+    specials = sum(t is not None for t in (begin, end))
+    content, step = tok.window_geometry(max_length, stride, specials)
+    out = rows.select(*keys, F.posexplode(cut_windows(F.col("_all"), max_length, stride, specials))
+                      .alias("chunk", "tokens"))
+    out = out.withColumn("n_overlap", F.when(F.col("chunk") > 0, F.least(F.lit(content - step), F.size("tokens")))
+                         .otherwise(0))
+    if "label_id" in rows.schema["_all"].dataType.elementType.names:
+        # an entity begins once: what the window before holds as well only goes on (Q15)
+        again = F.create_map(*[F.lit(schemas.LABEL2ID[x]) for label, i in schemas.LABEL2ID.items()
+                               for x in (label, label.replace("B-", "I-", 1) if label.startswith("B-") else label)])
+        out = out.withColumn("labels", F.transform("tokens", lambda t, j: F.when(
+            j < F.col("n_overlap"), again[t["label_id"]]).otherwise(t["label_id"])))
+    ids = [t if t is None else vocabulary.id(t) for t in (begin, end, pad)]
+    return model_inputs(out, ids[0], ids[1], ids[2] or 0, max_length)
+
+
 def encode_windows(docs: DataFrame, vocabulary: Vocabulary, begin: str | None = None, end: str | None = None,
                    pad: str | None = None, max_length: int = 512, stride: int = 256,
-                   doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   doc_col: str = "doc_id", text_col: str = "text", surface: bool = False) -> DataFrame:
     """Documents as model windows, one row per window; no shuffle.
 
-    ``(doc, chunk, n_overlap, tokens, input_ids, attention_mask, special_tokens_mask, offsets)``;
+    ``(doc, chunk, tokens, n_overlap, input_ids, attention_mask, special_tokens_mask, offsets)``;
     ``n_overlap`` tokens at the front are in the window before as well (W6).  ``begin``, ``end`` and
     ``pad`` name special tokens (no ``begin`` or ``end``: none is put; no ``pad``: id 0).  Rows that
     share a document key stay apart as windows of their own rows.
     """
-    specials = sum(t is not None for t in (begin, end))
-    content, step = tok.window_geometry(max_length, stride, specials)
-    cut = docs.select(F.col(doc_col), vocabulary.arrays(F.col(text_col)).alias("_all"))
-    rows = cut.select(F.col(doc_col), F.posexplode(cut_windows(F.col("_all"), max_length, stride, specials))
-                      .alias("chunk", "tokens"))
-    rows = rows.withColumn("n_overlap", F.when(F.col("chunk") > 0, F.least(F.lit(content - step), F.size("tokens")))
-                           .otherwise(0))
-    ids = [t if t is None else vocabulary.id(t) for t in (begin, end, pad)]
-    return model_inputs(rows, ids[0], ids[1], ids[2] or 0, max_length)
+    cut = docs.select(F.col(doc_col), vocabulary.arrays(F.col(text_col), surface=surface).alias("_all"))
+    return _windows(cut, vocabulary, begin, end, pad, max_length, stride, doc_col)
 
 
 def labelled_windows(docs: DataFrame, spans: DataFrame, vocabulary: Vocabulary, begin: str | None = None,
                      end: str | None = None, pad: str | None = None, max_length: int = 512, stride: int = 256,
-                     doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Training windows: subwords aligned to gold spans (``ord, start, end, label``), with label ids.
+                     doc_col: str = "doc_id", text_col: str = "text", surface: bool = False) -> DataFrame:
+    """Training windows: the rows of :func:`encode_windows` with ``labels``, the label ids of the subwords
+    under the gold spans ``(doc, ord, start, end, label)``.
 
-    The first subword of an entity gets ``B-``, its others ``I-``; special and padded places the
-    ignore index.  Documents must be hash partitioned on their key once (:func:`tokens.by_document`)
-    for the range join and the windows to share that layout.  Documents without tokens have no window
-    here.
+    One join of documents and their spans on the document key; a row holds the spans of one document beside its
+    text, and no token goes through a shuffle.  Special and padded places get the ignore index.
     """
-    specials = sum(t is not None for t in (begin, end))
-    aligned = bio.align(tokenizer(vocabulary, text_col)(docs, doc_col), spans, doc_col)
-    placed = bio.window_labels(aligned, max_length, stride, specials, doc_col=doc_col)
-    rows = tok.window_arrays(placed, label_col="label_id", doc_col=doc_col, extra=("id",))
-    ids = [t if t is None else vocabulary.id(t) for t in (begin, end, pad)]
-    return model_inputs(rows, ids[0], ids[1], ids[2] or 0, max_length)
+    fields = [F.col(c) for c in ("ord", "start", "end", "label")]
+    of = spans.groupBy(doc_col).agg(F.collect_list(F.struct(*fields)).alias("_spans"))
+    rows = docs.select(F.col(doc_col), F.col(text_col).alias("_text")).join(of, doc_col, "left")
+    cut = rows.select(F.col(doc_col), vocabulary.arrays(F.col("_text"), F.col("_spans"), surface).alias("_all"))
+    return _windows(cut, vocabulary, begin, end, pad, max_length, stride, doc_col)

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanlab.operators import bio, subword
-from spanlab.operators import tokens as tok
 from spanlab.plans import testviews as tv
 from spanlab.plans.catalogue import query
 from spanlab.plans.q_tokens import gold_spans
@@ -45,7 +44,7 @@ def q_subword_windows(spark, sf):
 @query("subword_labels")
 def q_subword_labels(spark, sf):
     """Training windows: label ids of the subwords under the gold spans."""
-    docs = tok.by_document(tv.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = tv.table(spark, sf, "documents").select("doc_id", "text")
     win = subword.labelled_windows(docs, bio.dedupe_spans(gold_spans(spark, sf)), vocabulary(spark), BEGIN, END, PAD,
                                    MAX_LENGTH, STRIDE)
     return win.select("doc_id", "chunk", F.size("tokens").alias("n_tokens"),

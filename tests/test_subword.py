@@ -2,7 +2,9 @@
 
 import hashlib
 import os
+import random
 
+import numpy as np
 import pytest
 
 from spanlab import schemas
@@ -42,7 +44,7 @@ def frame(spark, texts):
 @pytest.mark.parametrize("size,stride", [(12, 4), (8, 0), (512, 256)])
 def test_windows_equal_the_overflow_of_the_tokenizer(spark, name, size, stride):
     v = subword.Vocabulary(spark, P.path(name))
-    rows = subword.encode_windows(frame(spark, TEXTS), v, BEGIN, END, None, size, stride).collect()
+    rows = subword.encode_windows(frame(spark, TEXTS), v, BEGIN, END, None, size, stride, surface=True).collect()
     got = {(r.doc_id, r.chunk): r for r in rows}
     assert len(got) == len(rows)
     t = own(name)
@@ -95,7 +97,7 @@ def test_labels_of_subwords(spark, name):
     sp = spark.createDataFrame(spans, "doc_id long, ord long, start int, end int, label string")
     v = subword.Vocabulary(spark, P.path(name))
     rows = subword.labelled_windows(docs, sp, v, BEGIN, END, None, 512, 0).collect()
-    assert sorted(r.doc_id for r in rows) == [0, 1, 2]  # a document without tokens has no window
+    assert sorted(r.doc_id for r in rows) == [0, 1, 2, 3]
     for r in rows:
         enc = own(name).encode(texts[r.doc_id], add_special_tokens=False)
         want = plain_labels([trimmed(texts[r.doc_id], *o) for o in enc.offsets], [s[1:] for s in spans if s[0] == r.doc_id])
@@ -133,8 +135,7 @@ def test_queries_against_plain_python(spark):
             seen = content - step if c else 0
             own_tags = [schemas.LABEL2ID["I-" + schemas.ID2LABEL[x][2:]] if k < seen and schemas.ID2LABEL[x][0] == "B" else x
                         for k, x in enumerate(tags[first:first + content])]
-            if ids:
-                labels[d, c] = (len(ids), sum(x > 0 for x in own_tags), framed, md5([-100] + own_tags + [-100] * (pad + 1)))
+            labels[d, c] = (len(ids), sum(x > 0 for x in own_tags), framed, md5([-100] + own_tags + [-100] * (pad + 1)))
             if first + content >= len(enc.ids):
                 break
             first, c = first + step, c + 1
@@ -144,6 +145,28 @@ def test_queries_against_plain_python(spark):
     assert got == labels
 
 
+def test_painted_labels_equal_the_definition():
+    rnd = random.Random(5)
+    label = [x[2:] for x in schemas.LABELS if x.startswith("B-")]
+    for shuffled in (False, True):
+        for _ in range(200):
+            at = sorted((a, a + rnd.randint(0, 4)) for a in (rnd.randint(0, 30) for _ in range(rnd.randint(0, 15))))
+            at = sorted(at, key=lambda x: (x[0], x[1])) if not shuffled else rnd.sample(at, len(at))
+            spans = [(k, a, a + rnd.randint(0, 12), rnd.choice(label)) for k, a in
+                     enumerate(rnd.choices(range(30), k=rnd.randint(0, 6)))]
+            rows = [dict(zip(("ord", "start", "end", "label"), x)) for x in rnd.sample(spans, len(spans))]
+            got = subword._labels(np.array(at, np.int32).reshape(-1, 2), rows)
+            assert got.tolist() == plain_labels(at, spans)
+
+
+def test_plug_in_keeps_offsets_and_words(spark):
+    v = subword.Vocabulary(spark, P.path(FILES[1]))
+    rows = subword.tokenizer(v)(frame(spark, TEXTS)).collect()
+    assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5, 6}
+    for r in rows:
+        assert TEXTS[r.doc_id][r.s:r.e] == r.w and r.id >= 0 and r.word >= 0
+
+
 def test_windows_are_cut_without_a_shuffle(spark):
     v = subword.Vocabulary(spark, P.path(FILES[0]))
     plan = subword.encode_windows(frame(spark, ["x"]), v, BEGIN, END)._jdf.queryExecution().executedPlan().toString()
