@@ -122,22 +122,23 @@ def _labels(at: np.ndarray, spans: list[dict] | None) -> np.ndarray:
     out = np.full(len(at), schemas.LABEL2ID["O"], np.int32)
     if not spans or not len(at):
         return out
-    spans = sorted(spans, key=lambda x: x["ord"])
+    spans = sorted((x for x in spans if x["start"] is not None and x["end"] is not None), key=lambda x: x["ord"])
+    starts, ends = (np.array([x[k] for x in spans], np.int64) for k in ("start", "end"))
     owner = np.full(len(at), -1)
-    ordered = bool((np.diff(at, axis=0) >= 0).all())
-    for k in range(len(spans) - 1, -1, -1):  # the smallest is painted last
-        a, b = spans[k]["start"], spans[k]["end"]
-        if a is None or b is None:
-            continue
-        if ordered:  # the tokens inside are neighbours
-            owner[np.searchsorted(at[:, 0], a):np.searchsorted(at[:, 1], b, "right")] = k
-        else:
-            owner[(at[:, 0] >= a) & (at[:, 1] <= b)] = k
-    taken, first = np.unique(owner, return_index=True)
-    for k, i in zip(taken.tolist(), first.tolist()):
-        if k >= 0:
-            out[owner == k] = schemas.LABEL2ID[f"I-{spans[k]['label']}"]
-            out[i] = schemas.LABEL2ID[f"B-{spans[k]['label']}"]
+    if (np.diff(at, axis=0) >= 0).all():  # the tokens inside a span are neighbours
+        lo, hi = np.searchsorted(at[:, 0], starts).tolist(), np.searchsorted(at[:, 1], ends, "right").tolist()
+        for k in range(len(spans) - 1, -1, -1):  # the smallest is painted last
+            owner[lo[k]:hi[k]] = k
+    else:
+        for k in range(len(spans) - 1, -1, -1):
+            owner[(at[:, 0] >= starts[k]) & (at[:, 1] <= ends[k])] = k
+    inside = owner >= 0
+    if inside.any():
+        begin, go_on = (np.array([schemas.LABEL2ID[f"{x}-{y['label']}"] for y in spans], np.int32) for x in "BI")
+        out[inside] = go_on[owner[inside]]
+        taken, first = np.unique(np.where(inside, owner, len(spans)), return_index=True)
+        real = taken < len(spans)
+        out[first[real]] = begin[taken[real]]
     return out
 
 
