@@ -98,3 +98,17 @@ def test_arrow_batches_are_bounded(spark):
     own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     configure(own)
     assert own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+
+
+@pytest.mark.parametrize("stride", [0, 3])
+def test_scored_documents_equal_token_table(docs, stride):
+    from spanlab.operators.scoring import model_scorer, score_documents
+
+    def model():
+        import numpy as np
+        return lambda batch: [np.eye(9)[[len(w) % 9 for w in words]].reshape(-1, 9) for words in batch]
+
+    want = model_scorer(model, 8, stride)(tok.tokenize(docs))
+    got = score_documents(docs, model, 8, stride)
+    assert rows(got, *sorted(got.columns)) == rows(want, *sorted(got.columns))
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [doc_id")[0]
