@@ -165,6 +165,32 @@ def test_stream_appends_the_entities_of_the_batch(spark, lexicon, tmp_path):
         am.annotate_stream_exact(d, auto, idx)
 
 
+def test_dealt_phrases_give_what_one_automaton_gives(spark, lexicon):
+    more = lexicon.union(spark.createDataFrame([(f"l{i % 3}", f"grade grade foie x{i}", str(i)) for i in range(40)], lexicon.schema))
+    idx = lx.index(more, ordinal_col=None)
+    auto, table = am.automaton(more), am.fitted(more, max_bytes=10)  # was TooLarge at any such size
+    assert isinstance(table, type(lexicon)) and isinstance(am.fitted(more), am.PhraseAutomaton)
+    key = lambda r: (r.doc_id is None, r.doc_id, r.i, r.s, r.e, r.w, r.tag, r.score)
+    d = docs(spark).union(docs(spark).where("doc_id > 4"))
+    assert sorted(map(key, am.tag_documents(d, table).collect())) == sorted(map(key, am.tag_documents(d, auto).collect()))
+    want = sorted(map(entity, am.exact_entities(d, auto, idx).collect()))
+    assert want and sorted(map(entity, am.exact_entities(d, table, idx).collect())) == want
+    small = am.dealt_spans(d, table, ["doc_id"], part_bytes=8).collect()
+    one = am.phrase_spans(d, auto, ["doc_id"]).collect()
+    assert sorted(map(str, small)) == sorted(map(str, one))
+
+
+def test_a_phrase_is_dealt_to_the_parts_that_hold_its_first_words():
+    import pyarrow as pa
+    kind = pa.list_(pa.string())
+    texts = am.heads(pa.array([["a", "b", "c", "d"], [], None, ["b"], ["a", "a", "a", "a"]], kind)).to_pylist()
+    phrases = am.head(pa.array([["a"], ["a", "b"], ["a", "b", "c"], ["a", "b", "c", "x"], ["b"], ["c", "a"], ["a", "a", "a"]], kind)).to_pylist()
+    assert [[k in set(t) for k in phrases] for t in texts] == [
+        [True, True, True, True, True, False, False], [False] * 7, [False] * 7,
+        [False, False, False, False, True, False, False], [True, False, False, False, False, False, True]]
+    assert [len(t) for t in texts] == [9, 0, 0, 1, 3]
+
+
 def test_size_of_the_phrases_is_checked(lexicon, spark):
     with pytest.raises(am.TooLarge):
         am.automaton(lexicon, max_bytes=10)
