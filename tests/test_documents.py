@@ -112,3 +112,51 @@ def test_scored_documents_equal_token_table(docs, stride):
     got = score_documents(docs, model, 8, stride)
     assert rows(got, *sorted(got.columns)) == rows(want, *sorted(got.columns))
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [doc_id")[0]
+
+
+def strict_by_table(docs, models, most_tokens=None):
+    """The outcomes from entity tables, a side per model."""
+    ents = dc.decode(docs, tv.sides(models))
+    gold = ev.per_model(ents.where("side = 'gold'").drop("side"), [m for m, _ in models])
+    pred = ents.where("side <> 'gold'").withColumnRenamed("side", "model")
+    if most_tokens is not None:
+        limits = tok.truncate(tok.tokenize(docs), most_tokens, 0).groupBy("doc_id").agg(F.max("e").alias("last_char"))
+        pred = ev.truncated(pred, limits)
+    return ev.strict_outcomes(gold, pred, ("doc_id", "model")).withColumnRenamed("model", "side")
+
+
+@pytest.mark.parametrize("most_tokens", [None, 9])
+def test_outcomes_equal_entity_tables(spark, docs, most_tokens):
+    words = " ".join(f"w{k * k % 97}" for k in range(900))
+    more = spark.createDataFrame([(7, words), (8, words[1:]), (8, "w" + words), (8, LONG), (None, words)], docs.schema)
+    all_docs = docs.union(more)
+    want = strict_by_table(all_docs, tv.MODELS, most_tokens)
+    got = dc.outcomes(all_docs, tv.sides(tv.MODELS), most_tokens)
+    assert most_tokens or {r.type for r in got.select("type").distinct().collect()} == set(dc.OUTCOMES)
+    assert rows(got, *sorted(got.columns)) == rows(want, *sorted(got.columns))
+    assert dict(got.dtypes) == dict(want.dtypes)
+    # documents are the only rows that are shuffled
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_greedy_pairs_against_one_by_one(seed):
+    import numpy as np
+    rng = np.random.default_rng(seed)
+
+    def spans(n):
+        doc, start = rng.integers(0, 3, n), rng.integers(0, 40, n)
+        return dc.Spans(doc, rng.integers(0, 2, n), start, start + rng.integers(1, 12, n), rng.permutation(n))
+
+    g, p = spans(25), spans(30)
+    gi, pi, common = dc.overlaps(g, p)
+    want = {(a, b): c for a in range(25) for b in range(30) if (g.doc[a], g.kind[a]) == (p.doc[b], p.kind[b])
+            and (c := min(g.end[a], p.end[b]) - max(g.start[a], p.start[b])) > 0}
+    assert dict(zip(zip(gi.tolist(), pi.tolist()), common.tolist())) == want and len(gi) == len(want)
+    used, matched = set(), np.full(30, -1)
+    for a, b in sorted(want, key=lambda x: (-want[x], g.number[x[0]], p.number[x[1]])):
+        if a not in used and matched[b] < 0:
+            used.add(a)
+            matched[b] = a
+    assert dc.greedy(g, p, gi, pi, common).tolist() == matched.tolist()
