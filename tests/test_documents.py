@@ -160,3 +160,16 @@ def test_greedy_pairs_against_one_by_one(seed):
             used.add(a)
             matched[b] = a
     assert dc.greedy(g, p, gi, pi, common).tolist() == matched.tolist()
+
+
+def test_alignment_reads_the_documents_once(spark, tmp_path):
+    """Spans decoded from the documents and the tokens they are aligned to share the documents' one shuffle."""
+    from spanlab.plans import q_tokens as qt
+    known = [(k, f"{LONG} word{k}") for k in range(1, 8)]
+    spark.createDataFrame([*known, (None, LONG), (8, None)], "doc_id long, text string").selectExpr(
+        "*", "'en' as lang").write.parquet(str(tmp_path / "documents.parquet"))
+    got = qt.aligned(spark, str(tmp_path))
+    tagged = {r.doc_id for r in got.collect() if r.tag != "O"}
+    assert tagged <= {k for k, _ in known} and len(tagged) > 3
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
