@@ -173,3 +173,21 @@ def test_alignment_reads_the_documents_once(spark, tmp_path):
     assert tagged <= {k for k, _ in known} and len(tagged) > 3
     final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
+
+
+def test_batches_are_worked_on_in_slices(monkeypatch):
+    """Memory follows a slice of the texts, and the entities are those of the whole batch."""
+    monkeypatch.setattr(dc, "SLICE_BYTES", 300)
+    rows_ = [[LONG], [], None, ["a b"], [None], [LONG, "x y"], [LONG * 9], ["z"], [LONG]]
+    texts = pa.array([None if r is None else [{"text": x} for x in r] for r in rows_], pa.list_(pa.struct([("text", pa.string())])))
+    keys = pa.array(range(len(rows_)), pa.int64())
+    seen = []
+
+    def run(k, part):
+        seen.append((len(part), sum(len(x["text"] or "") for row in part.to_pylist() for x in row or [])))
+        return dc.entity_lists(k, part, tagger(), False)
+
+    for first, many in ((0, len(rows_)), (3, 5), (0, 0)):
+        k, part = keys.slice(first, many), texts.slice(first, many)
+        assert dc.sliced(run)(k, part).to_pylist() == dc.entity_lists(k, part, tagger(), False).to_pylist()
+    assert all(n <= 300 or rows == 1 for rows, n in seen) and len(seen) > 5
